@@ -82,3 +82,12 @@ def components(members: DataFrame, node: str, group: str, max_rounds: int = 60)
 def letters(c: Column) -> Column:
     """True where the text holds a letter of any script."""
     return F.coalesce(c.rlike(r"\p{L}"), F.lit(False))
+
+
+#: A side of a join is broadcast up to this many narrow rows (some 16 MB); beyond it, Spark shuffles both sides.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted size allows; give it a written table."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

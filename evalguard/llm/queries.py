@@ -39,8 +39,15 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.token_store(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import jaccard_join as op
+
+    return op.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_token_store": op3_token_store,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
