@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalguard.llm.mixing import ORACLE_SQL as MIXING_SQL
+
 #: Vocabulary file of the public byte-level tokenizer.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,12 +35,24 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.identify(docs, model).select("doc_id", F.coalesce(crc_bucket(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "phrases")
 
 
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import sharding as op
+
+    return op.shard_documents(table(spark, sf_dir, "documents"), op.topology(24), op.topology(25))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import token_store as op
 
     return op.token_store(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import mixing as op
+
+    return op.schedule(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import jaccard_join as op
 
@@ -47,7 +61,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op3_token_store": op3_token_store,
+    "op5_temperature_mixing": op5_temperature_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_temperature_mixing": MIXING_SQL}
