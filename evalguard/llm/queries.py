@@ -53,6 +53,15 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.schedule(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import toxicity as op
+
+    docs = table(spark, sf_dir, "documents")
+    weights = op.train(op.learning_sample(docs, table(spark, sf_dir, "labels").where(crc_bucket(5) != 0)))
+    held_out = F.coalesce(crc_bucket(5) == 0, F.lit(False))
+    return op.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import jaccard_join as op
 
@@ -64,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op3_token_store": op3_token_store,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op5_temperature_mixing": MIXING_SQL}
