@@ -62,6 +62,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import decontaminate as op
+
+    return op.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import jaccard_join as op
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op5_temperature_mixing": op5_temperature_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_template_decontamination": op9_template_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {"op5_temperature_mixing": MIXING_SQL}
