@@ -53,6 +53,12 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.schedule(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import pii as op
+
+    return op.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import toxicity as op
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op3_token_store": op3_token_store,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
