@@ -53,6 +53,12 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.schedule(table(spark, sf_dir, "documents")).drop("th")
 
 
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import hamming_index as op
+
+    return op.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import pii as op
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op3_token_store": op3_token_store,
     "op5_temperature_mixing": op5_temperature_mixing,
+    "op6_multi_index_hashing": op6_multi_index_hashing,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_template_decontamination": op9_template_decontamination,
