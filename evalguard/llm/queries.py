@@ -47,6 +47,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.token_store(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalguard.llm import substring_dedup as op
+
+    return op.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.llm import mixing as op
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
     "op3_token_store": op3_token_store,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_temperature_mixing": op5_temperature_mixing,
     "op6_multi_index_hashing": op6_multi_index_hashing,
     "op7_pii": op7_pii,
