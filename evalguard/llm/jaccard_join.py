@@ -173,9 +173,11 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
     nodes = materialise(
         some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("bands").alias("bands")), "jaccard-nodes"
     )
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = materialise(spread.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value"), "jaccard-bands")
-    members = spread.join(shared, ["band", "value"]).select("node", F.struct("band", "value").alias("grp"))
+    spread = nodes.select("node", F.explode("bands").alias("grp"))  # a band's hash holds its number
+    shared = spread.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    # bands with the same members say the same: one of them is enough
+    shared = materialise(shared.groupBy("n", "least", "all").agg(F.min("grp").alias("grp")).select("grp"), "jaccard-bands")
+    members = spread.join(shared.hint("merge"), "grp")
     comp = components(members, "node", "grp")
     sizes = materialise(comp.groupBy("comp").agg(F.count("*").alias("size")), "jaccard-sizes")
     placed = comp.join(sizes, "comp").select("comp", "node", F.ceil(F.col("size") / block).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
