@@ -96,9 +96,9 @@ def sampled(seed: int, sample: Column, fraction: float) -> Column:
     return head < F.lit(int(fraction * 2**32))
 
 
-def number(c: Column) -> Column:
-    """A double, null where the text is none or NaN."""
-    value = c.try_cast("double")
+def number(c: Column, kind: T.DataType | None = None) -> Column:
+    """A double, null where the cell's text is none or NaN."""
+    value = c.cast("double") if kind is not None and is_numeric(kind) else c.cast("string").try_cast("double")
     return F.when(F.isnan(value), None).otherwise(value)
 
 

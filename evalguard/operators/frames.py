@@ -35,7 +35,7 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str], value: s
 
     def entry(c: str) -> Column:
         if value == "number":
-            x = canon.number(df[c])
+            x = canon.number(df[c], kinds[c])
         elif value == "text":
             x = F.when(~canon.is_missing(df[c], kinds[c]), canon.cell(df[c], kinds[c]))
         else:
