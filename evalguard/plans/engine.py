@@ -99,7 +99,10 @@ class Context:
         self.features = [c for c in self.columns if c not in special]
         content = [c for c in self.columns]
         features = [c for c in self.columns if c != self.label and c not in self.config.ids]
-        self.df = df.withColumn("__row", canon.digest(df, content)).withColumn("__features", canon.digest(df, features) if features else F.lit(None).cast("string"))
+        if spec.images:  # the file's bytes are its content
+            self.df = df.withColumn("__row", F.col("sha256")).withColumn("__features", F.col("sha256"))
+        else:
+            self.df = df.withColumn("__row", canon.digest(df, content)).withColumn("__features", canon.digest(df, features) if features else F.lit(None).cast("string"))
         self.kinds = {f.name: f.dataType for f in df.schema.fields}
         self.sizes = {n: 0 for n in spec.splits} | {r[SPLIT]: r["count"] for r in self.df.groupBy(SPLIT).count().collect()}
         self.total = sum(self.sizes.values())
@@ -175,7 +178,7 @@ def _splits(ctx: Context) -> list[dict[str, Any]]:
 
 @rule("DD003")
 def _exact(ctx: Context) -> list[dict[str, Any]]:
-    groups = duplicates.digest_groups(ctx.df, "__row", SPLIT).persist()
+    groups = duplicates.digest_groups(ctx.df.where("__row is not null"), "__row", SPLIT).persist()
     try:
         out = []
         for r in duplicates.cross_split(groups).collect():
@@ -266,6 +269,7 @@ def _target(ctx: Context) -> list[dict[str, Any]]:
         raise NotApplicable("images have no feature columns", "UNSUPPORTED")
     if not ctx.label:
         raise NoEvidence("no label column")
+    ctx.needs_splits()
     kind = ctx.kinds[ctx.label]
     rows = ctx.df.where(~canon.is_missing(F.col(ctx.label), kind))
     classes = sorted(r[0] for r in rows.select(F.col(ctx.label).cast("string")).distinct().limit(1001).collect())
@@ -303,14 +307,14 @@ def _target(ctx: Context) -> list[dict[str, Any]]:
         levels = {r["column"]: r["n_f"] for r in facts.values()}
         binned = rows
         edges = max(2, min(10, int(n**0.5)))
-        cuts = [c for c in soft if c in numbers and levels[c] > edges]
+        cuts = [c for c in soft if c in numbers and levels[c] > 2]
         if cuts:
             q = F.array(*(F.lit(i / edges) for i in range(edges + 1)))
             found = rows.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in cuts)).first()
             for c in cuts:
                 e = sorted(set(found[c]))
                 binned = binned.withColumn(c, sum((F.when(F.col(c).cast("double") >= x, 1).otherwise(0) for x in e[1:-1]), F.lit(0)))
-        nmi = {r["column"]: r["nmi"] for r in leakage.feature_nmi(binned, [c for c in soft if c in cuts or levels[c] <= max(50, n // 10)] or soft[:1], ctx.label).collect()}
+        nmi = {r["column"]: r["nmi"] for r in leakage.feature_nmi(binned, soft, ctx.label).collect()}
         for c in soft:
             a, m = auc.get(c) if levels[c] > 2 else None, nmi.get(c)
             if (a is not None and a >= block["min_single_feature_auc"]) or (m is not None and m >= block["min_normalized_mutual_info"]):
@@ -337,7 +341,7 @@ def _conflicts(ctx: Context) -> list[dict[str, Any]]:
     if not ctx.label:
         raise NoEvidence("no label column")
     out = []
-    for r in labels.conflict_summary(labels.conflicts(ctx.df, "__features", ctx.label, SPLIT)).orderBy("scope").collect():
+    for r in labels.conflict_summary(labels.conflicts(ctx.df.where("__features is not null"), "__features", ctx.label, SPLIT)).orderBy("scope").collect():
         role = canon.role_of(r["scope"])
         severity, status, impact = ("CRITICAL", "FAIL", "BLOCKING") if r["scope"] == "cross" else ("HIGH", "FAIL", "BLOCKING") if role in ("val", "test") else ("MEDIUM", "WARNING", "POTENTIAL")
         where = "across splits" if r["scope"] == "cross" else f"in {r['scope']}"
