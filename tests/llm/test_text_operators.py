@@ -1,0 +1,217 @@
+"""Language ID, tokens, toxicity, personal data: against plain Python on small fixtures."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from evalguard.llm import language_id, pii, queries, textvec, token_store, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+# ---- words and shingles
+
+
+def test_words_and_shingles_equal_plain_python(odd_rows):
+    texts = [r[1] or "" for r in odd_rows]
+    rows = textvec.strings(pa.array(texts))
+    found = [len(s) for s in textvec.shingle_sets(rows)]
+    for t, n in zip(texts, found, strict=True):
+        w = re.findall(textvec.WORD_PATTERN, t.lower())
+        want = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) > 4 else int(bool(w or t.strip()))
+        assert n == want
+    one = list(textvec.shingle_sets(textvec.strings(pa.array(["one two", "One, two!", "two one"]))))
+    assert one[0] == one[1] != one[2]
+
+
+def test_hashes_do_not_depend_on_the_batch(odd_rows):
+    rows = textvec.strings(pa.array([r[1] for r in odd_rows]))
+    together = list(textvec.shingle_sets(rows))
+    assert all((a == b).all() for a, b in zip(together, (next(textvec.shingle_sets(rows.slice(i, 1))) for i in range(len(rows))), strict=True))
+
+
+# ---- language
+
+
+def test_automaton_knows_exactly_the_substrings():
+    s = "abracadabra"
+    a = language_id.SuffixAutomaton(s)
+    subs = {s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice("abcdrz") for _ in range(rng.randint(1, 12)))
+        n, at = 0, 0
+        while at < len(t):
+            k = at + 1
+            while k <= len(t) and t[at:k] in subs:
+                k += 1
+            at, n = max(at + 1, k - 1), n + 1
+        assert a.phrases(t) == n
+
+
+def test_parallel_parse_equals_the_automata(odd_rows):
+    samples = {"en": "the cat sat on the mat and then the rat ran " * 5, "de": "der hund und die katze sind nicht im haus ß " * 5}
+    model = language_id.train(samples)
+    texts = [(r[1] or "")[:3000] for r in odd_rows] + ["the cat und die maus", "zzz"]
+    counts, has = language_id.Parser(model).count(texts)
+    for t, row, h in zip(texts, counts, has, strict=True):
+        n = language_id.normalise(t)
+        for lang, got in zip(model.langs, row, strict=True):
+            a = language_id.SuffixAutomaton(language_id.normalise(samples[lang]))
+            assert got == sum(a.phrases(n[i : i + language_id.BLOCK]) for i in range(0, len(n), language_id.BLOCK))
+        assert h == any(c.isalpha() for c in t)
+
+
+def test_language_of_odd_documents(odd, empty, odd_rows):
+    model = language_id.train(language_id.collect_sample(odd))
+    rows = language_id.identify(odd, model).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in rows)
+    by = {r["doc_id"]: r["lang_pred"] for r in rows}
+    assert by[4] == by[5] == by[6] == by[7] == by[13] == "und" and by[0] in ("en", "de")
+    assert language_id.identify(empty, model).count() == 0 and language_id.collect_sample(empty) == {}
+    assert {r["lang_pred"] for r in language_id.identify(odd, language_id.train({})).collect()} == {"und"}
+
+
+def test_language_on_held_out_documents(spark, small_docs):
+    got = queries.op1_language_id(spark, SF).join(small_docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in small_docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+# ---- tokens
+
+
+def test_encoder_equals_the_tokenizer(odd_rows):
+    rng = random.Random(5)
+    texts = [r[1] or "" for r in odd_rows] + ["x <|endoftext|> y", "don't 's we'll''s", " a  b\n\n c\t"]
+    texts += ["".join(rng.choice(["'", "s", "re", "ll", " ", "  ", "\n", "1", "²", "é", "　", "a", "!", "\x1c", "\x85"]) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    for cache in (1 << 20, 64):
+        e = token_store.CachedEncoder(queries.tokenizer_path(), cache)
+        for _ in range(2):
+            ids, offsets = e.encode(texts)
+            want = [x.ids + [0] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_store_round_trip(spark, odd, odd_rows, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(odd, path, queries.tokenizer_path(), row_index_stride=1000)
+    want = sorted((r[0] if r[0] is not None else -1, tuple(t.encode(r[1] or "", add_special_tokens=False).ids + [0])) for r in odd_rows)
+    store = token_store.read_store(spark, path)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, tuple(r["token_ids"])) for r in store.collect())
+    assert got == want
+    digest = sorted(token_store.store_digest(spark, path).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in digest:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] if r["doc_id"] is not None else -1 for r in digest] == sorted(d for d, _ in want)
+    assert sorted(r["ids_crc32"] for r in digest) == sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in want)
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]" in store.where("doc_id = 3")._jdf.queryExecution().toString()
+    assert store.where("doc_id = 3").count() == 2
+    assert token_store.token_store(spark, empty, queries.tokenizer_path()).count() == 0
+
+
+# ---- toxicity
+
+
+def test_ftrl_learns_a_word_and_forgets_the_rest():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(np.append(rng.integers(0, 1000, 30), 1500) if y else rng.integers(0, 1000, 30)), int(y)) for y in rng.integers(0, 2, 400)]
+    w = toxicity.train(rows, bits=11)
+    assert w.slot[w.weight.argmax()] == 1500 and len(w.slot) < 200
+
+
+def test_slots_equal_plain_python():
+    words = textvec.words(pa.array(["a b c", "", "d"]))
+    slot, row = toxicity.slots(words)
+    assert len(slot) == 4 + 2 + 1 and row.tolist().count(0) == 6 and row.tolist().count(2) == 1
+    assert len(set(slot.tolist())) == 7
+
+
+def test_toxicity_of_odd_documents(spark, odd, empty, odd_rows):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(0, None, None), (None, 0, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    w = toxicity.train(toxicity.learning_sample(odd, labels))
+    rows = toxicity.score(odd, w).collect()
+    assert len(rows) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in rows)
+    assert toxicity.score(empty, w).count() == 0 and toxicity.train([]).bias == 0
+    alone = toxicity.train(toxicity.learning_sample(odd, labels.where("toxic = 1")))
+    assert all(r["score"] > 0.99 for r in toxicity.score(odd, alone).collect())
+
+
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    pos, neg = ([r["score"] for r in got if r["toxic"] == y] for y in (1, 0))
+    assert np.mean([a > b for a in pos for b in neg]) > 0.8
+
+
+# ---- personal data
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x // 10 + x % 10
+    return total % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_personal_data_equals_plain_python(spark, odd_rows, empty):
+    rng = random.Random(3)
+    parts = ["a", "b", "1", "2", "0", "255", "256", ".", ".", "@", "@", "+", "+1 ", " ", "-", "(", ")", "é", "日", "😀", "_", "%", "555", "4111111111111111", "4111 1111 1111 1111", "1.2.3.4", "a@b.c", "\n", 'token = "', "deadbeef" * 5, "x at y dot com", "(243) 555-5526"]
+    rows = [(r[0], r[1]) for r in odd_rows] + [(100 + i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(1500)]
+    rows += [(99, "a" * 100_000 + "@x.y " + "1" * 50_000 + " +" + "1-" * 20_000 + "@" + ".a" * 20_000)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = {}
+    for d, t in rows:
+        want.setdefault(d, []).append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(t or "")).encode()).hexdigest())
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r["base_sha256"])
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    texts = dict(rows[len(odd_rows) :])
+    for r in got:
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(s.startswith(k + ":") for s in r["spans"].split(",")) for k in pii.BASE)
+        if r["n_added"] and r["doc_id"] in texts:
+            assert all(int(s.split(":")[2]) <= len(texts[r["doc_id"]]) for s in r["spans"].split(","))
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_em_finds_the_reliable_labeler(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(400):
+        y = rng.random() < 0.5
+        rows.append((1 if y else -1, 1 if y == (rng.random() < 0.95) else -1, int(y and rng.random() < 0.8), 0 if y else -int(rng.random() < 0.5), int(rng.random() < 0.5)))
+    p = pii.reliabilities(spark.createDataFrame(rows, ", ".join(f"{j} int" for j in pii.LABELERS)))
+    gain = {j: abs(p[j, 1, 1] - p[j, 1, 0]) for j in pii.LABELERS}
+    assert gain["shape"] > 0.9 and gain["company"] < 0.2
+
+
+@pytest.mark.parametrize("name", ["pii", "sharding", "mixing"])
+def test_native_operators_have_no_python_nodes(spark, odd, name):
+    from evalguard.llm import mixing, sharding
+
+    df = {"pii": lambda: pii.personal_data(odd), "sharding": lambda: sharding.shard_documents(odd, sharding.topology(24)), "mixing": lambda: mixing.schedule(odd)}[name]()
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+    assert F is not None
