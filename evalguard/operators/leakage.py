@@ -77,5 +77,11 @@ def unique_ratio(df: DataFrame, columns: Sequence[str], split: str) -> DataFrame
     return distinct.join(F.broadcast(sizes), split).select(F.col(split).alias("split"), "column", "n_rows", "n_unique", (F.col("n_unique") / F.col("n_rows")).alias("ratio"))
 
 
+def value_shape(df: DataFrame, columns: Sequence[str], split: str) -> DataFrame:
+    """(split, column, filled, min_length, max_length, digits): the shape of values without showing any."""
+    long = unpivot(df, columns, [split], "text")
+    return long.groupBy(F.col(split).alias("split"), "column").agg(F.count("*").alias("filled"), F.min(F.length("x")).alias("min_length"), F.max(F.length("x")).alias("max_length"), F.avg(F.col("x").rlike("^[0-9]+$").cast("double")).alias("digits"))
+
+
 def looks_like_id(name: str) -> bool:
     return any(p in name.lower() for p in ID_PARTS)

@@ -6,13 +6,13 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalguard.functions import canon
 
 
-def snapshot(df: DataFrame, ids: Sequence[str], split: str, label: str | None, skip: Sequence[str] = ()) -> DataFrame:
+def snapshot(df: DataFrame, ids: Sequence[str], split: str, label: str | None, skip: Sequence[str] = (), extra: dict[str, Column] | None = None) -> DataFrame:
     """(sample_id, split, label, content, features): a version without its values.
 
     The id holds the split, so a row that moves gets another one. ``content`` leaves out the split, ``features`` also the label and ids.
@@ -23,9 +23,46 @@ def snapshot(df: DataFrame, ids: Sequence[str], split: str, label: str | None, s
     return df.select(
         canon.sample_id(F.col(split).cast("string"), *key).alias("sample_id"), F.col(split).cast("string").alias("split"),
         (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("label"), canon.digest(df, content).alias("content"), canon.digest(df, features).alias("features"),
+        *(c.alias(n) for n, c in (extra or {}).items()),
     )
 
 
+def id_of(df: DataFrame, ids: Sequence[str], split: str) -> Column:
+    return canon.sample_id(F.col(split).cast("string"), *(canon.cell(df[c], df.schema[c].dataType) for c in ids))
+
+
+def manifest(df: DataFrame, ids: Sequence[str], split: str, label: str | None, groups: Sequence[str] = (), mode: str = "full", fraction: float = 1.0, seed: int = 1337, sample: Column | None = None) -> DataFrame:
+    """The snapshot with role, groups and whether the row is hashed.
+
+    Modes: full hashes every row, metadata none, sampled a deterministic share of them. Digests that weren't asked for are never computed.
+    """
+    if mode not in ("full", "metadata", "sampled"):
+        raise ValueError(f"no mode {mode}")
+    snap = snapshot(df, ids, split, label, extra={"__sample": sample if sample is not None else id_of(df, ids or [c for c in df.columns if c != split], split), "__groups": F.create_map(*(x for g in groups for x in (F.lit(g), F.col(g).cast("string")))) if groups else F.create_map().cast("map<string,string>")})
+    hashed = {"full": F.lit(True), "metadata": F.lit(False), "sampled": canon.sampled(seed, F.col("__sample"), fraction)}[mode]
+    role = F.when(F.lower("split").isin(*canon.TRAIN_NAMES), "train").when(F.lower("split").isin(*canon.VAL_NAMES), "val").when(F.lower("split").isin(*canon.TEST_NAMES), "test").otherwise("unknown")
+    return snap.withColumn("hash_sampled", hashed).select("sample_id", "split", role.alias("role"), "label", F.col("__groups").alias("groups"), "hash_sampled", F.when(F.col("hash_sampled"), F.col("content")).alias("content"), F.when(F.col("hash_sampled"), F.col("features")).alias("features"))
+
+
+def finding_changes(before: list[dict] | None, after: list[dict] | None) -> dict[str, list[tuple]]:
+    """New, resolved and changed findings by rule, scope and splits; nothing where a side was not audited."""
+    out: dict[str, list[tuple]] = {"new": [], "resolved": [], "changed": []}
+    if before is None or after is None:
+        return out
+
+    def table(findings: list[dict]) -> dict[tuple, tuple]:
+        found: dict[tuple, list[dict]] = {}
+        for f in findings:
+            found.setdefault((f["rule_id"], f["metadata"].get("scope"), f["source_split"], f["target_split"]), []).append(f)
+        return {k: (len(v), sum(f["affected_count"] for f in v), tuple(sorted(f["severity"] for f in v))) for k, v in found.items()}
+
+    a, b = table(before), table(after)
+    order = lambda k: tuple(map(str, k))
+    out["new"], out["resolved"] = sorted(b.keys() - a.keys(), key=order), sorted(a.keys() - b.keys(), key=order)
+    out["changed"] = sorted((k for k in a.keys() & b.keys() if a[k] != b[k]), key=order)
+    return out
+
+
 def manifest_hash(snap: DataFrame, prefix: int = 4) -> str:
     """Order-independent hash of (split, label, content): digests by prefix first, then at most 16**prefix of them."""
     line = F.sha2(F.concat_ws(canon.SEP, "split", F.coalesce("label", F.lit(canon.NULL_CELL)), "content").cast("binary"), 256).alias("d")

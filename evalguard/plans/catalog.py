@@ -189,6 +189,12 @@ def dd008_unique_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.unique_ratio(orders(spark, sf_dir), ["o_orderkey", "o_custkey", "o_orderpriority"], "split").withColumn("ratio", r6("ratio"))
 
 
+@query(f"""with t as ({ORDERS}), l as (select split, 'o_orderkey' as c, cast(o_orderkey as varchar) as x from t union all select split, 'o_orderpriority', o_orderpriority from t)
+select split, c as "column", count(x) as filled, min(length(x)) as min_length, max(length(x)) as max_length, round(avg(cast(regexp_full_match(x, '[0-9]+') as integer)), 6) as digits from l group by all""")
+def value_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.value_shape(orders(spark, sf_dir), ["o_orderkey", "o_orderpriority"], "split").withColumn("digits", r6("digits"))
+
+
 # ---- labels
 
 
@@ -300,15 +306,15 @@ def dd016_corrupt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.corrupt_rates(pages, "split").withColumn("rate", r6("rate"))
 
 
-@query(f"""with t as (select {t2('doc_id')} as split, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+'), '') as mail, lang from documents),
-l as (select split, 'mail' as c, mail as x from t union all select split, 'lang', lang from t),
-p as (select * from (values ('email', '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}$'), ('phone_like', '^[+]?[0-9][0-9 ().-]{{7,}}[0-9]$'), ('national_id_like', '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$')) v(pattern, r))
+@query(f"""with t as (select {t2('doc_id')} as split, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+'), '') as mail, cast(1000000000 + doc_id * 7919 as varchar) as number from documents),
+l as (select split, 'mail' as c, mail as x from t union all select split, 'number', number from t),
+p as (select * from (values ('email', '^[^@ ]{{1,64}}@[^@ ]{{2,}}[.]'), ('phone_like', '^[+]?[0-9][0-9 ().-]{{7,14}}$'), ('national_id_like', '^[0-9]{{6}}[-+]?[0-9]{{4}}$|^[0-9]{{9,11}}$')) v(pattern, r))
 select split, c as "column", pattern, count(*) filter (regexp_matches(x, r)) as matches, count(x) as cells, case when count(x) = 0 then 0.0 else round(count(*) filter (regexp_matches(x, r)) / count(x), 6) end as ratio
 from l cross join p group by all""")
 def dd021_pii_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.nullif(F.regexp_extract("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+", 0), F.lit(""))
-    docs = tagged(spark, sf_dir, "documents", "doc_id").withColumn("mail", mail)
-    return structural.pii_rates(docs, ["mail", "lang"], "split").withColumn("ratio", r6("ratio"))
+    docs = tagged(spark, sf_dir, "documents", "doc_id").withColumn("mail", mail).withColumn("number", F.lit(1000000000) + F.col("doc_id") * 7919)
+    return structural.pii_rates(docs, ["mail", "number"], "split").withColumn("ratio", r6("ratio"))
 
 
 # ---- versions and fingerprints
@@ -353,6 +359,15 @@ def fingerprint_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(canon.digest(c, ["c_custkey", "c_name", "c_mktsegment"]).alias("digest"), "c_custkey")
 
 
+@query(f"""with t as ({ORDERS}), s as (select *, cast('0x' || substr(sha256('7' || chr(31) || o_orderkey), 1, 8) as bigint) < {int(0.25 * 2**32)} as hashed from t)
+select o_orderkey as id, split, case split when 'train' then 'train' when 'val' then 'val' else 'test' end as role, o_orderstatus as label, hashed as hash_sampled,
+case when hashed then sha256(o_orderkey || chr(31) || o_orderstatus) end as content from s""")
+def fingerprint_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "split")
+    m = versions.manifest(rows, ["o_orderkey"], "split", "o_orderstatus", mode="sampled", fraction=0.25, seed=7, sample=F.col("o_orderkey").cast("string"))
+    return m.join(rows.select(F.col("o_orderkey").alias("id"), versions.id_of(rows, ["o_orderkey"], "split").alias("sample_id")), "sample_id").select("id", "split", "role", "label", "hash_sampled", "content")
+
+
 # ---- splitting
 
 _RATIOS = {"train": 0.7, "val": 0.1, "test": 0.2}

@@ -519,7 +519,7 @@ def _drift(ctx: Context) -> list[dict[str, Any]]:
 
 @rule("DD020")
 def _provenance(ctx: Context) -> list[dict[str, Any]]:
-    wanted = ("source", "license", "version", "collected_by", "collected_at")
+    wanted = ("source", "version", "license", "download_date")
     have = [k for k in wanted if str(ctx.config.provenance.get(k) or "").strip()]
     if not have:
         return [finding("DD020", "No provenance is declared", "LOW", "WARNING", "NONE", missing=list(wanted))]

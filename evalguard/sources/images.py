@@ -18,7 +18,7 @@ SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff", ".gif")
 #: Formats that every JDK decodes; the others count as not inspected.
 DECODED = (".jpg", ".jpeg", ".png", ".bmp", ".gif")
 #: Directory names that are no label.
-NO_LABELS = ("", "unknown", "unlabeled", "unlabelled", "none", "null", "nan")
+NO_LABELS = ("", "unknown", "none", "null", "unlabeled", "unmapped", "-")
 HASH_SIDE, HASH_PIXELS = 8, 32
 _SCHEMA = "path string, width int, height int, channels int, brightness double, contrast double, phash long"
 
@@ -70,6 +70,61 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, length long")
 
 
+def hash_files(spark: SparkSession, path: str, cache: DataFrame | None = None) -> DataFrame:
+    """(path, length, modified, sha256); files that ``cache`` has with equal path, length and time are not read again."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    key = [F.col("path"), F.col("length"), F.col("modificationTime").alias("modified")]
+    if cache is None:
+        return files.select(*key, F.sha2("content", 256).alias("sha256"))
+    listed = files.select(*key)
+    known = listed.join(cache, ["path", "length", "modified"])
+    missing = [r["path"] for r in listed.join(cache, ["path", "length", "modified"], "left_anti").select("path").collect()]  # the names to open
+    return known.unionByName(hash_files_of(spark, missing)) if missing else known
+
+
+def hash_files_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def label_of_path(path: F.Column) -> F.Column:
+    """The parent directory's name, split names left out."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~F.lower(x).isin("train", "val", "test") & (x != ""))
+    return F.try_element_at(parts, F.lit(-2))
+
+
+def entity_of_path(path: F.Column, pattern: str) -> F.Column:
+    """The pattern's first group, or all of its match; null where it doesn't match."""
+    import re
+
+    group = 1 if re.compile(pattern).groups else 0
+    return F.when(path.rlike(pattern), F.regexp_extract(path, pattern, group))
+
+
+def copy_split(assigned: DataFrame, root: str, out: str) -> int:
+    """Copy (relative_path, split) files into ``out/split/...`` from the executors; returns the number of files.
+
+    Both folders must be reachable under one path from every executor; bytes come through Spark's binaryFile source.
+    """
+    spark = assigned.sparkSession
+    prefix = "/" + root.removeprefix("file:").strip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^(file:)?/*", "/").alias("key"), "content")
+    rows = files.join(assigned.select(F.concat(F.lit(prefix), "relative_path").alias("key"), "relative_path", "split"), "key").select("relative_path", "split", "content")
+    target = out.removeprefix("file://")
+
+    def write(part) -> None:
+        from pathlib import Path
+
+        for r in part:
+            to = Path(target, r["split"], r["relative_path"])
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.write_bytes(r["content"])
+
+    n = rows.count()
+    rows.foreachPartition(write)
+    return n
+
+
 def decode(spark: SparkSession, path: str) -> DataFrame:
     """Properties of the images that decode."""
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")

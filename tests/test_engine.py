@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evalguard import cli
+from evalguard.operators import versions
 from evalguard.plans import engine, policy, report
 from evalguard.sources import discovery, images, tables
 
@@ -171,3 +173,25 @@ def test_phash_moves_little_under_brightness():
 def test_repair_plan_orders_steps():
     r = engine.Report(policy.INVALID, [], [fact("DD005", "CRITICAL", "FAIL", "BLOCKING") | {"finding_id": "DD005-0001"}, fact("DD003", "HIGH", "FAIL", "BLOCKING") | {"finding_id": "DD003-0001"}], [], {})
     assert [s["kind"] for s in report.repair_plan(r)] == ["deduplicate", "resplit", "verify"]
+
+
+def test_hash_cache_and_copies(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / "in" / "a").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "a" / f"p{i}_x.png").write_bytes(bytes([i]) * 9)
+    root = f"file://{tmp_path}/in"
+    first = images.hash_files(spark, root)
+    cache = spark.createDataFrame([(r["path"], r["length"], r["modified"], "kept") for r in first.collect() if "p0" in r["path"]], first.schema)
+    again = {r["path"][-8:]: r["sha256"] for r in images.hash_files(spark, root, cache).collect()}
+    assert again["p0_x.png"] == "kept" and len(again) == 3 and len(again["p1_x.png"]) == 64
+    paths = spark.createDataFrame([("train/cat/p7_x.png",), ("x.png",)], "p string")
+    got = paths.select(images.label_of_path(F.col("p")).alias("l"), images.entity_of_path(F.col("p"), r"p(\d+)_").alias("e")).collect()
+    assert [tuple(r) for r in got] == [("cat", "7"), (None, None)]
+    assigned = spark.createDataFrame([(f"a/p{i}_x.png", "train" if i else "test") for i in range(3)], "relative_path string, split string")
+    assert images.copy_split(assigned, root, f"file://{tmp_path}/out") == 3 and (tmp_path / "out" / "train" / "a" / "p2_x.png").read_bytes() == b"\2" * 9
+
+
+def test_finding_changes():
+    f = lambda rule, n: {"rule_id": rule, "metadata": {}, "source_split": "train", "target_split": "test", "affected_count": n, "severity": "HIGH"}
+    got = versions.finding_changes([f("DD003", 1), f("DD005", 2)], [f("DD005", 3), f("DD006", 1)])
+    assert [len(got[k]) for k in ("new", "resolved", "changed")] == [1, 1, 1] and versions.finding_changes(None, [f("DD003", 1)])["new"] == []
