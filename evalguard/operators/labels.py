@@ -43,8 +43,9 @@ def imbalance(df: DataFrame, label: str) -> DataFrame:
 def shift(df: DataFrame, label: str, split: str, reference: str) -> DataFrame:
     """(split, tv, js, common_classes) of every other split against the reference."""
     counts = df.select(F.col(split).alias("split"), canon.clean_label(F.col(label)).alias("label")).where("label is not null").groupBy("split", "label").agg(F.count("*").alias("n"))
-    ref = counts.where(F.col("split") == reference).select("label", F.col("n").alias("r"))
-    others = counts.where(F.col("split") != reference)
-    every = others.select("split").distinct().crossJoin(F.broadcast(counts.select("label").distinct()))  # splits x classes, both small
-    table = every.join(others, ["split", "label"], "left").join(ref, "label", "left").fillna(0, ["n", "r"])
+    # one row a class with its counts by split; each other split then takes its own and the reference's
+    by_class = counts.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("by"))
+    others = [r[0] for r in counts.select("split").distinct().where(F.col("split") != reference).collect()]  # splits are few
+    count = lambda c: F.coalesce(F.try_element_at("by", c), F.lit(0))
+    table = by_class.withColumn("split", F.explode(F.array(*map(F.lit, others)).cast("array<string>"))).select("split", "label", count(F.col("split")).alias("n"), count(F.lit(reference)).alias("r"))
     return metrics.shares(table, ["split"], "r", "n").groupBy("split").agg(metrics.tv().alias("tv"), metrics.jensen_shannon().alias("js"), F.count(F.when((F.col("n") > 0) & (F.col("r") > 0), 1)).alias("common_classes"))

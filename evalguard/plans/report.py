@@ -24,6 +24,18 @@ ACTIONS = {
     "verify": "Audit the new version and compare it with this one.",
 }
 
+METHOD = (
+    "Contents are compared by SHA-256 of canonical cells or of file bytes; counts are exact, lists are a top-k.",
+    "Distances use the training split as reference; quantiles are exact, PSI bins are the reference's deciles.",
+    "A finding asserts something only with status FAIL or WARNING; what could not be measured is INCONCLUSIVE and never counts as a pass.",
+    "The verdict is a fixed sequence of rules over findings and outcomes, not a score.",
+)
+LIMITS = (
+    "Copies that differ in any cell are no exact duplicates; near duplicates are sought among images only.",
+    "Entities are as good as the declared column; undeclared ones are not guessed.",
+    "Single-feature prediction and personal-data patterns are heuristics and need a look.",
+)
+
 
 def repair_plan(report: Report) -> list[dict[str, Any]]:
     """Steps in order; none of them touches the dataset in place."""
@@ -38,7 +50,7 @@ def repair_plan(report: Report) -> list[dict[str, Any]]:
 def as_dict(report: Report) -> dict[str, Any]:
     return {
         "generated_at": datetime.now(UTC).replace(microsecond=0).isoformat(), "verdict": report.verdict, "reasons": report.reasons, "identity": report.identity, "summary": report.summary(),
-        "outcomes": report.outcomes, "findings": report.findings, "repair_plan": repair_plan(report),
+        "outcomes": report.outcomes, "findings": report.findings, "repair_plan": repair_plan(report), "methodology": METHOD, "limitations": LIMITS,
     }
 
 
@@ -52,7 +64,7 @@ def markdown(report: Report) -> str:
     cell = lambda x: str(x).replace("|", "\\|")
     lines += [f"| {f['finding_id']} | {f['severity']} | {f['status']} | {f['formal_impact']} | {cell(f['title'])} | {f['affected_count']} |" for f in _ordered(report)]
     lines += ["", "| rule | name | status | reason |", "| --- | --- | --- | --- |", *(f"| {o['rule_id']} | {o['name']} | {o['status']} | {cell(o['reason'] or '')} |" for o in report.outcomes)]
-    lines += ["", "## Repair", "", *(f"{s['step']}. {s['action']} ({', '.join(s['findings']) or 'always'})" for s in repair_plan(report))]
+    lines += ["", "## Repair", "", *(f"{s['step']}. {s['action']} ({', '.join(s['findings']) or 'always'})" for s in repair_plan(report)), "", "## Method and limits", "", *(f"- {x}" for x in (*METHOD, *LIMITS))]
     return "\n".join(lines) + "\n"
 
 
