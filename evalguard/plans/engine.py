@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from evalguard.plans import policy
 from evalguard.plans.registry import RULES, rank
 
 SPLIT = frames.SPLIT
-MAX_EVIDENCE = 50
+#: Rules that run at once.
+THREADS = 8
 FINDING_SCHEMA = (
     "finding_id string, rule_id string, title string, category string, severity string, status string, evidence_type string, formal_impact string, "
     "affected_count long, source_split string, target_split string, columns array<string>, evidence string"
@@ -540,20 +543,26 @@ def audit(spark: SparkSession, spec: AuditSpec) -> Report:
     ctx = Context(spark, spec)
     ctx.df = ctx.df.persist()
     findings, outcomes = [], []
-    shared: dict[Callable, list[dict[str, Any]]] = {}
+    asked: dict[str, Future] = {}
+    shared: dict[Callable, Future] = {}
     try:
+        # rules don't depend on each other: their small jobs fill the cluster together
+        with ThreadPoolExecutor(THREADS) as pool:
+            for rule_id, meta in RULES.items():
+                off = rule_id in policy.SWITCHABLE and not ctx.block(rule_id)["enabled"]
+                if not off and (meta.images if spec.images else meta.tables):
+                    run = RUN[rule_id]
+                    if run not in shared:
+                        shared[run] = pool.submit(inheritable_thread_target(spark)(_timed), run, ctx)
+                    asked[rule_id] = shared[run]
         for rule_id, meta in RULES.items():
-            began, found, reason, status = time.time(), [], None, None
-            run = RUN[rule_id]
-            if rule_id in policy.SWITCHABLE and not ctx.block(rule_id)["enabled"]:
-                status, reason = "NOT_RUN", "switched off"
-            elif not (meta.images if spec.images else meta.tables):
-                status, reason = "UNSUPPORTED", "not for this type of dataset"
+            found, reason, ms = [], None, 0
+            if rule_id not in asked:
+                status, reason = ("UNSUPPORTED", "not for this type of dataset") if not (meta.images if spec.images else meta.tables) else ("NOT_RUN", "switched off")
             else:
                 try:
-                    if run not in shared:
-                        shared[run] = run(ctx)
-                    found = [policy.apply_severity(f, spec.config) for f in shared[run] if f["rule_id"] == rule_id]
+                    every, ms = asked[rule_id].result()
+                    found = [policy.apply_severity(f, spec.config) for f in every if f["rule_id"] == rule_id]
                     status = policy.status_of(found)
                 except NotApplicable as e:
                     status, reason = e.status, str(e)
@@ -566,9 +575,14 @@ def audit(spark: SparkSession, spec: AuditSpec) -> Report:
             for k, f in enumerate(found, 1):
                 f["finding_id"] = f"{rule_id}-{k:04d}"
             findings += found
-            outcomes.append({"rule_id": rule_id, "name": meta.name, "status": status, "findings": len(found), "highest": max((f["severity"] for f in found), key=rank, default=None), "reason": reason, "ms": int(1000 * (time.time() - began))})
+            outcomes.append({"rule_id": rule_id, "name": meta.name, "status": status, "findings": len(found), "highest": max((f["severity"] for f in found), key=rank, default=None), "reason": reason, "ms": ms})
         verdict, reasons = policy.verdict(findings, outcomes, ctx.total, spec.images)
         facts = next((f["evidence"] for f in findings if f["rule_id"] == "DD001"), None) or identity(ctx)
         return Report(verdict, reasons, findings, outcomes, facts)
     finally:
         ctx.df.unpersist()
+
+
+def _timed(run: Callable[[Context], list[dict[str, Any]]], ctx: Context) -> tuple[list[dict[str, Any]], int]:
+    began = time.time()
+    return run(ctx), int(1000 * (time.time() - began))
