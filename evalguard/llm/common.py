@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +53,45 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_file_dir() -> str:
-    """The task's own temporary folder, for files that live and die inside one task."""
-    return os.environ.get("TMPDIR", "/tmp")
+#: Rows of an Arrow batch: texts may be long, and both sides of the pipe hold whole batches.
+BATCH_ROWS = 1000
+
+
+#: What an operator keeps in a worker process between its tasks, by operator.
+kept_in_worker: dict[str, dict] = {}
+
+
+def in_arrow(df: DataFrame, run, schema: str, keep: str = "") -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows (a setting of the session, lowered if it is higher).
+
+    A task drops what operators other than ``keep`` have left in its worker.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def whole(batches):
+        forget_others(keep)
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(whole, schema)
+
+
+def forget_others(keep: str) -> None:
+    for name in [n for n in kept_in_worker if n != keep]:
+        del kept_in_worker[name]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker outlives its task and waits beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def components(members: DataFrame, node: str, group: str, max_rounds: int = 60) -> DataFrame:

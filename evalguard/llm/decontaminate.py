@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import textvec
-from evalguard.llm.common import materialise, small
+from evalguard.llm.common import in_arrow, materialise, small
 
 WIDTH, MIN_WORDS, COVERAGE = 8, 5, 0.5
 FILTER_BITS = 24
@@ -118,7 +118,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "window", "pos", "n_windows", "slots", "width"), r, strict=True)) for r in out], schema=_ITEM_ARROW)
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    return rows.mapInArrow(run, WINDOW_SCHEMA)
+    return in_arrow(rows, run, WINDOW_SCHEMA)
 
 
 _ITEM_ARROW = pa.schema([("item_id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64())), ("width", pa.int32())])
@@ -159,7 +159,7 @@ def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS)
 
     text = F.col("text").cast("string")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, window long, at int, doc_slots array<long>")
+    return in_arrow(rows, run, "doc_id long, th long, window long, at int, doc_slots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:

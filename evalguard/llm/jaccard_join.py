@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import textvec
-from evalguard.llm.common import components, materialise, small
+from evalguard.llm.common import components, in_arrow, materialise, small
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 128
@@ -95,7 +95,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, bands: int = 20, rows: int = 5)
                 ["doc_id", "th", "node", "bands"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, node binary, bands array<long>")
+    return in_arrow(_keyed(docs), run, "doc_id long, th long, node binary, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

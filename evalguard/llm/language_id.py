@@ -19,12 +19,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalguard.llm.common import in_arrow
+
 UNDETERMINED = "und"
 BLOCK = 256
 #: Bound of the training sample: rows and characters for each language.
@@ -121,6 +124,12 @@ def train(samples: dict[str, str]) -> Model:
     return Model(list(samples), [math.log2(max(2, len(t))) for t in samples.values()], alphabet, roots, table)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter; one table for each worker process."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
 class Parser:
     """Counts the phrases of many texts for all languages of a model."""
 
@@ -128,8 +137,7 @@ class Parser:
         self.model = model
         width = len(model.alphabet) + 1
         self.symbol = np.zeros(0x110000, np.uint8 if width < 256 else np.int32)
-        self.letter = np.zeros(0x110000, bool)
-        self.letter[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+        self.letter = _letters()
         self.symbol[~self.letter] = model.alphabet.find(" ") + 1
         for i, c in enumerate(model.alphabet):
             self.symbol[ord(c)] = i + 1
@@ -214,9 +222,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         names = np.array([*parser.model.langs, UNDETERMINED], dtype=object)
         for batch in batches:
             at = 0
-            while at < batch.num_rows:  # about 4 million characters at once
+            while at < batch.num_rows:  # about two million characters at once
                 part, size = [], 0
-                while at + len(part) < batch.num_rows and size < 4 << 20:
+                while at + len(part) < batch.num_rows and size < 2 << 20:
                     part.append(batch.column(2)[at + len(part)].as_py() or "")
                     size += len(part[-1])
                 counts, has = parser.count(part)
@@ -233,4 +241,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 at += len(part)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, schema)

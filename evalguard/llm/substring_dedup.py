@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import anchors, textvec
-from evalguard.llm.common import BROADCAST_ROWS, materialise, small
+from evalguard.llm.common import BROADCAST_ROWS, in_arrow, materialise, small
 
 LENGTH = 200
+#: Rows of a batch that a worker handles at once.
+ROWS_AT_ONCE = 1000
 BUCKET_PIECES, HOT_PIECES = 4096, 50_000
 BROADCAST_SPANS = 2_000_000
 
@@ -118,6 +120,12 @@ def repeated_strings(pieces: list[bytes], before: np.ndarray, first: np.ndarray,
     return [found[i, left - int(before[i]) : left - int(before[i]) + int(last[i] - first[i]) + 1] for i in range(n)]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -127,7 +135,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, th, h, piece, at, first, last): anchor hash, hash of the whole run, anchor place, first and last string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             data, offsets = textvec.raw(textvec.strings(batch.column(2)))
             for i in range(batch.num_rows):
@@ -141,7 +149,7 @@ def find_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "th", "h", "piece", "at", "first", "last"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, h long, piece long, at int, first int, last int")
+    return in_arrow(_keyed(docs), run, "doc_id long, th long, h long, piece long, at int, first int, last int")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,10 +160,10 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     both = some.join(wanted, some["doc_id"].eqNullSafe(wanted["doc_id"]) & (some["th"] == wanted["th"])).select(some["doc_id"], some["th"], "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             data, offsets = textvec.raw(textvec.strings(batch.column(2)))
             lists = batch.column(3)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))  # offsets of a slice begin anywhere
             flat = lists.flatten()
             cols = {f: flat.field(f).to_numpy() for f in ("h", "at", "first", "last")}
             begin, end = (offsets[row] + cols["first"]).tolist(), (offsets[row] + cols["last"] + LENGTH).tolist()
@@ -163,7 +171,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols["h"]), pa.array(cols["at"]), pa.array(cols["first"]), pa.array(cols["last"]), pieces], ["doc_id", "th", "h", "at", "first", "last", "bytes"])
 
-    return both.mapInArrow(run, "doc_id long, th long, h long, at int, first int, last int, bytes binary")
+    return in_arrow(both, run, "doc_id long, th long, h long, at int, first int, last int, bytes binary")
 
 
 def _stretches(flags: list[np.ndarray], first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +202,7 @@ def count_strings(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
     """The same for hot anchors: every string by two hashes, counted over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             row, start, one, two = [], [], [], []
             for i, (b, first) in enumerate(zip(batch.column(6).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 data = np.frombuffer(b, np.uint8)
@@ -208,7 +216,7 @@ def count_strings(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
             take = pa.array(cat(row), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cat(start), pa.int32()), pa.array(cat(one), pa.int64()), pa.array(cat(two), pa.int64())], ["doc_id", "th", "s", "one", "two"])
 
-    strings = materialise(fetched.mapInArrow(run, "doc_id long, th long, s int, one long, two long"), "dedup-strings")
+    strings = materialise(in_arrow(fetched, run, "doc_id long, th long, s int, one long, two long"), "dedup-strings")
     often = materialise(strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "dedup-often")
     return strings.join(often, ["one", "two"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
 
@@ -256,7 +264,7 @@ def _merge(spans: DataFrame) -> DataFrame:
             merged = pa.StructArray.from_arrays([pa.array(s[new], pa.int32()), pa.array(stop, pa.int32())], ["s", "e"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), merged)], ["doc_id", "th", "spans"])
 
-    return spans.mapInArrow(run, "doc_id long, th long, spans array<struct<s:int,e:int>>")
+    return in_arrow(spans, run, "doc_id long, th long, spans array<struct<s:int,e:int>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
@@ -268,7 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
     joined = d.join(side, d["doc_id"].eqNullSafe(side["doc_id"]) & (d["th"] == side["th"]), "left").select(d["doc_id"], d["th"], "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             data, offsets = textvec.raw(textvec.strings(batch.column(2)))
             kept, removed, count = [], [], []
             for i, spans_ in enumerate(batch.column(3).to_pylist()):
@@ -283,5 +291,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
                 count.append(len(spans_ or ()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    return joined.mapInArrow(run, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
+    return in_arrow(joined, run, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
 

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalguard.llm.common import shared_path
+from evalguard.llm.common import in_arrow, kept_in_worker, shared_path
 
 END_ID = 0
-#: Different pretokens whose ids a worker remembers (about 40 bytes each); others are encoded when they come.
-CACHE_PRETOKENS = 2_000_000
+#: Different pretokens whose ids a worker remembers (about 50 bytes each); others are encoded when they come.
+CACHE_PRETOKENS = 300_000
+#: Characters encoded at once.
+PART_CHARS = 1 << 19
 
 _U = np.uint64
 _MULT = 0xD6E8FEB86659FD93
@@ -90,7 +92,7 @@ class Pretokens:
     def hashes(self, points: np.ndarray, cut: np.ndarray) -> np.ndarray:
         n = len(points)
         if n + 1 > len(self.up):
-            self.up, self.down = _powers(_MULT, 2 * n), _powers(pow(_MULT, -1, 1 << 64), 2 * n)
+            self.up, self.down = _powers(_MULT, n + n // 8), _powers(pow(_MULT, -1, 1 << 64), n + n // 8)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + _U(1)) * self.up[:n], out=total[1:])
         h = (total[np.append(cut[1:], n)] - total[cut]) * self.down[cut]
@@ -152,8 +154,21 @@ class CachedEncoder:
         self.pretokens = Pretokens()
         self.cache = cache
         self.table = HashTable(2 * cache)
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        # ids of all known pretokens in a row and where each begins, in arrays with room to grow
+        self.pieces, self.used = 0, 0
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.int32)
+
+    def _append(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Ids of new pretokens behind those of the known ones; they stay if ``pieces`` and ``used`` move on."""
+        for name, least in (("starts", self.pieces + len(sizes) + 1), ("flat", self.used + len(ids))):
+            have = getattr(self, name)
+            if least > len(have):
+                more = np.zeros(max(least, len(have) * 3 // 2), have.dtype)
+                more[: len(have)] = have
+                setattr(self, name, more)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[self.pieces + 1 : self.pieces + 1 + len(sizes)] = self.starts[self.pieces] + np.cumsum(sizes)
 
     def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
@@ -167,20 +182,19 @@ class CachedEncoder:
         """Ids of all pretokens in a row, and how many each has."""
         h = self.pretokens.hashes(points, cut)
         code = self.table.find(h)
-        starts, flat = self.starts, self.flat
         missing = np.flatnonzero(code < 0)
         if len(missing):
             uniq, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
             first = missing[first]
             a, b = cut[first].tolist(), np.append(cut[1:], len(points))[first].tolist()
             sizes, ids = self._tokens([joined[x:y] for x, y in zip(a, b, strict=True)])
-            place = len(starts) - 1 + np.arange(len(uniq))
+            self._append(sizes, ids)
+            place = self.pieces + np.arange(len(uniq))
             code[missing] = place[inverse]
-            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
-            flat = np.concatenate([flat, ids])
-            if len(starts) <= self.cache:
+            if self.pieces + len(uniq) <= self.cache:
                 self.table.put(uniq, place)
-                self.starts, self.flat = starts, flat
+                self.pieces, self.used = self.pieces + len(uniq), self.used + len(ids)
+        starts, flat = self.starts, self.flat
         size = starts[code + 1] - starts[code]
         where = np.repeat(starts[code] - (np.cumsum(size) - size), size)
         where += np.arange(len(where))
@@ -209,14 +223,15 @@ class CachedEncoder:
         return out, bounds + np.arange(len(texts) + 1)
 
 
-_encoders: dict[tuple[str, int], CachedEncoder] = {}
+_KEEP = "token_store"
 
 
 def _encoder(path: str, cache: int) -> CachedEncoder:
-    """One encoder for each worker process, kept between its tasks."""
-    if (path, cache) not in _encoders:
-        _encoders[path, cache] = CachedEncoder(path, cache)
-    return _encoders[path, cache]
+    """One encoder for each worker process, kept between the tasks of this operator."""
+    mine = kept_in_worker.setdefault(_KEEP, {})
+    if (path, cache) not in mine:
+        mine[path, cache] = CachedEncoder(path, cache)
+    return mine[path, cache]
 
 
 def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETOKENS) -> DataFrame:
@@ -227,10 +242,10 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETO
         for batch in batches:
             at = 0
             texts = batch.column(1)
-            while at < batch.num_rows:  # about 4 MB of text at once
+            while at < batch.num_rows:
                 to, size = at, 0
                 part: list[str] = []
-                while to < batch.num_rows and size < 4 << 20:
+                while to < batch.num_rows and size < PART_CHARS:
                     part.append(texts[to].as_py() or "")
                     size += len(part[-1])
                     to += 1
@@ -239,7 +254,7 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETO
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["doc_id", "token_ids"])
                 at = to
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, token_ids array<int>", keep=_KEEP)
 
 
 def in_doc_order(docs: DataFrame) -> DataFrame:
@@ -294,7 +309,7 @@ def crc_of(store: DataFrame) -> DataFrame:
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
 
-    return store.select("doc_id", "part", "token_ids").mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    return in_arrow(store.select("doc_id", "part", "token_ids"), run, "doc_id long, part int, n_tokens long, ids_crc32 long")
 
 
 def token_store(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import textvec
-from evalguard.llm.common import materialise
+from evalguard.llm.common import in_arrow, materialise
 
 BITS = 20
 SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
@@ -116,7 +116,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
                 lists += [np.unique(slot[order[a:b]]).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], ["doc_id", "toxic", "slots"])
 
-    got = found.mapInArrow(run, "doc_id long, toxic int, slots binary").toArrow()
+    got = in_arrow(found, run, "doc_id long, toxic int, slots binary").toArrow()
     order = sorted(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["slots"].to_pylist(), strict=True))
     return [(np.frombuffer(x, np.int32).astype(np.int64), y) for _, y, x in order]
 
@@ -141,4 +141,4 @@ def score(docs: DataFrame, weights: Weights, bits: int = BITS) -> DataFrame:
                 total[at : at + len(part)] += np.bincount(pair >> bits, weights=dense[pair & ((1 << bits) - 1)], minlength=len(part))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double")
