@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalguard.llm.common import in_arrow, kept_in_worker, shared_path
+from evalguard.llm.common import in_arrow, kept_in_worker, release_memory, shared_path
 
 END_ID = 0
 #: Different pretokens whose ids a worker remembers (about 50 bytes each); others are encoded when they come.
 CACHE_PRETOKENS = 300_000
 #: Characters encoded at once.
-PART_CHARS = 1 << 19
+PART_CHARS = 1 << 18
 
 _U = np.uint64
 _MULT = 0xD6E8FEB86659FD93
@@ -172,8 +172,8 @@ class CachedEncoder:
 
     def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes, flat = [], []
-        for k in range(0, len(pieces), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + 20_000], add_special_tokens=False)]
+        for k in range(0, len(pieces), 2_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + 2_000], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
         return np.concatenate(sizes), np.concatenate(flat)
@@ -253,6 +253,7 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETO
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["doc_id", "token_ids"])
                 at = to
+            release_memory()
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, token_ids array<int>", keep=_KEEP)
 
