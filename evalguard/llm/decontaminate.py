@@ -58,7 +58,7 @@ def template(rows: pa.Array) -> tuple[textvec.Words, np.ndarray, np.ndarray]:
     t, slot = lower.hash.copy(), np.zeros(n, bool)
     if not n:
         return lower, t, slot
-    data, start, end = lower.data, lower.start, lower.end
+    data, start = lower.data, lower.start
     digit = (data[start] >= 48) & (data[start] <= 57)
     t[digit], slot[digit] = NUMBER, True
     after = np.zeros(n, bool)
@@ -66,19 +66,20 @@ def template(rows: pa.Array) -> tuple[textvec.Words, np.ndarray, np.ndarray]:
     known = _units()
     unit = after & ~digit & (known[np.minimum(np.searchsorted(known, lower.hash), len(known) - 1)] == lower.hash)
     t[unit], slot[unit] = UNIT, True
-    original, _ = textvec.raw(rows)
-    if len(original) == len(data):  # lower case kept the byte positions
-        first = original[start]
-        # a name: an upper-case letter, lower case after it, and a word before it in the same sentence
-        capital = (first >= 65) & (first <= 90) & (end - start > 1)
-        second = original[np.minimum(start + 1, len(original) - 1)]
-        capital &= (second >= 97) & (second <= 122)
-        gap = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(np.isin(original, np.frombuffer(b".!?:;\n\r|\"", np.uint8)), out=gap[1:])
-        inside = np.zeros(n, bool)
-        inside[1:] = (gap[start[1:]] == gap[end[:-1]]) & (lower.row[1:] == lower.row[:-1])
-        name = capital & inside
-        t[name], slot[name] = NAME, True
+    # lower case changes the bytes of some letters, but neither joins nor parts words: the n-th word stays the n-th
+    original, offsets = textvec.raw(rows)
+    begin, stop = textvec.spans(original, offsets)
+    first = original[begin]
+    # a name: an upper-case letter, lower case after it, and a word before it in the same sentence
+    capital = (first >= 65) & (first <= 90) & (stop - begin > 1)
+    second = original[np.minimum(begin + 1, len(original) - 1)]
+    capital &= (second >= 97) & (second <= 122)
+    gap = np.zeros(len(original) + 1, np.int64)
+    np.cumsum(np.isin(original, np.frombuffer(b".!?:;\n\r|\"", np.uint8)), out=gap[1:])
+    inside = np.zeros(n, bool)
+    inside[1:] = (gap[begin[1:]] == gap[stop[:-1]]) & (lower.row[1:] == lower.row[:-1])
+    name = capital & inside
+    t[name], slot[name] = NAME, True
     return lower, t, slot
 
 

@@ -91,14 +91,9 @@ class Words:
     data: np.ndarray
 
 
-def words(rows: pa.Array, lower: bool = True) -> Words:
-    if lower:
-        rows = pc.utf8_lower(rows)
-    data, offsets = raw(rows)
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one byte of each word; words never cross rows."""
     n = len(data)
-    if n == 0:
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), z, z, z, np.zeros(len(rows) + 1, np.int64), data)
     is_word = _WORD[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -106,7 +101,18 @@ def words(rows: pa.Array, lower: bool = True) -> Words:
     first[1:] &= ~is_word[:-1] | edge[1:n]
     last = is_word.copy()
     last[:-1] &= ~is_word[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(rows: pa.Array, lower: bool = True) -> Words:
+    if lower:
+        rows = pc.utf8_lower(rows)
+    data, offsets = raw(rows)
+    n = len(data)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), z, z, z, np.zeros(len(rows) + 1, np.int64), data)
+    start, end = spans(data, offsets)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * _power(_R, "up", n)[:n], out=total[1:])
     h = mix((total[end] - total[start]) * _power(_R_INV, "down", n + 1)[start])

@@ -237,6 +237,24 @@ def test_passages_equal_brute_force(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+LONG = QUESTION[:-1] + " while Carol counts 2019 pears near the old mill and later Dave carries 2019 stones over the long bridge for his uncle in town."
+
+
+def found(spark, texts, item=QUESTION):
+    """{number of the text: (coverage, exact)} of the texts in one task that hold the item."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    return {r["doc_id"]: (round(r["coverage"], 2), r["exact"]) for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+@pytest.mark.parametrize("odd_text", ["\u0130", "\u212a \u212b \u2126 \u1e9e", "\u023a", "\u0130\u023a and", ""])
+def test_names_do_not_depend_on_the_texts_beside(spark, odd_text):
+    _, alone, _ = decontaminate.template(pa.array([QUESTION]))
+    w, t, slot = decontaminate.template(pa.array([odd_text, QUESTION]))
+    assert t[w.bounds[1] :].tolist() == alone.tolist() and slot[w.bounds[1] :].sum() == 6
+    assert found(spark, [odd_text, QUESTION, QUESTION.replace("Alice", "Carol")]) == {1: (1.0, True), 2: (1.0, False)}
+
+
 # ---- near copies
 
 
