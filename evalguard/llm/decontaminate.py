@@ -2,7 +2,8 @@
 
 A text becomes a template: words in order, where numbers, units after numbers, and names (capitalised
 words inside a sentence) give way to typed placeholders. Windows of ``WIDTH`` template words of the
-benchmark are joined to those of the documents by hash. For each document, item and alignment the
+benchmark are joined to those of the documents by hash, as templates and as plain lower-cased words, so that a copy
+whose capitals or line breaks differ is found too. For each document, item and alignment the
 slots behind the placeholders are compared: a re-parameterised question keeps one value for each
 value of the original. A document holds an item if consistent hits at one alignment cover at least ``COVERAGE``
 of the item's windows.
@@ -83,13 +84,16 @@ def template(rows: pa.Array) -> tuple[textvec.Words, np.ndarray, np.ndarray]:
     return lower, t, slot
 
 
-def _windows(rows: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, textvec.Words, np.ndarray, np.ndarray]]:
-    """(first row, window hash, window's first word, words, template, slots) by slice; windows never cross rows."""
+def _windows(rows: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, textvec.Words, np.ndarray]]:
+    """(first row, window hash, window's first word, words, slots) by slice, of templates and of plain words; windows never cross rows."""
     for at, part in textvec.slices(rows):
         w, t, slot = template(part)
-        h = textvec.windows(t, width)
-        i = np.flatnonzero(w.row[: len(h)] == w.row[width - 1 :][: len(h)]) if len(h) else np.zeros(0, np.int64)
-        yield at, h[i] if len(h) else h, i, w, t, slot
+        i = np.flatnonzero(w.row[: max(len(t) - width + 1, 0)] == w.row[width - 1 :])
+        yield at, textvec.windows(t, width)[i], i, w, slot
+        # a window without slots is its own plain form
+        total = np.concatenate([[0], np.cumsum(slot)])
+        i = i[total[i + width] > total[i]]
+        yield at, textvec.windows(w.hash, width)[i], i, w, np.zeros(len(slot), bool)
 
 
 def _slot_values(w: textvec.Words, slot: np.ndarray, first: int, width: int) -> list[int]:
@@ -102,7 +106,7 @@ WINDOW_SCHEMA = "item_id long, window long, pos int, n_windows int, slots array<
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All windows of the items: (item_id, window, pos, n_windows, slots, width)."""
+    """All windows of the items, as templates and as plain words: (item_id, window, pos, n_windows, slots, width)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +120,8 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                     continue
                 h = textvec.windows(t, size).view(np.int64).tolist()
                 out += [(ids[i], x, k, len(h), _slot_values(w, slot, k, size), size) for k, x in enumerate(h)]
+                plain = textvec.windows(w.hash, size).view(np.int64).tolist()
+                out += [(ids[i], x, k, len(h), [], size) for k, x in enumerate(plain) if x != h[k]]
             yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "window", "pos", "n_windows", "slots", "width"), r, strict=True)) for r in out], schema=_ITEM_ARROW)
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -149,7 +155,7 @@ def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS)
             texts = textvec.strings(batch.column(2))
             rows: list[dict] = []
             for size in sizes:
-                for at, h, i, w, _, slot in _windows(texts, size):
+                for at, h, i, w, slot in _windows(texts, size):
                     place = h >> _U(64 - bits)
                     hit = np.flatnonzero((found[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1))
                     for k in hit.tolist():

@@ -255,6 +255,11 @@ def test_names_do_not_depend_on_the_texts_beside(spark, odd_text):
     assert found(spark, [odd_text, QUESTION, QUESTION.replace("Alice", "Carol")]) == {1: (1.0, True), 2: (1.0, False)}
 
 
+def test_copies_in_other_case_or_wrapping_are_found(spark):
+    texts = [QUESTION.lower().replace(" ", "\n"), QUESTION.upper(), QUESTION.title(), QUESTION.replace(" Alice", "\nAlice").replace(" Bob", "\nBob"), "no question at all, of more than eight words"]
+    assert found(spark, texts) == dict.fromkeys(range(4), (1.0, True))
+
+
 # ---- near copies
 
 
