@@ -1,25 +1,29 @@
 """Benchmark decontamination on question templates.
 
-A text becomes a template: words in order, where numbers, units after numbers, and names (capitalised
-words inside a sentence) give way to typed placeholders. Windows of ``WIDTH`` template words of the
-benchmark are joined to those of the documents by hash, as templates and as plain lower-cased words, so that a copy
-whose capitals or line breaks differ is found too. For each document, item and alignment the
-slots behind the placeholders are compared: a re-parameterised question keeps one value for each
-value of the original. A document holds an item if consistent hits at one alignment cover at least ``COVERAGE``
-of the item's windows.
+A text becomes a template: words in order, where runs of numbers, units after numbers, and runs of names (capitalised
+words inside a sentence) give way to one typed placeholder each. Windows of ``WIDTH`` template tokens of the
+benchmark are joined to those of the documents by hash, and so are windows of ``WIDTH`` plain lower-cased words, so that
+a copy whose capitals or line breaks differ is found too. A hit counts for the item's plain windows that it spans.
+
+Hits of one document and item are judged at each alignment (document position minus item position) and over chains of
+alignments that lie less than the item's length apart, so that an inserted or dropped word does not part a copy. The slots behind
+the placeholders are compared: a re-parameterised question keeps one value for each value of the original. A document
+holds an item if consistent hits cover at least ``COVERAGE`` of the item's windows, or ``RUN_WORDS`` words of it in a row.
 
 Documents are read once; a fixed-size bit map of the benchmark's hashes (``FILTER_BITS``, whatever the
 benchmark's size) drops windows that cannot hit before anything is shuffled. Hits meet the benchmark's windows in
 a join that is broadcast only if the benchmark's windows are few.
 
 Defined cases: null, empty and blank texts hold nothing; an item of fewer than ``WIDTH`` words is one
-window of all its words if it has at least ``MIN_WORDS``, else it is not sought; a repeated item is found under
+window of all its words if it has at least ``MIN_WORDS``, else it is not sought; a template of fewer than ``MIN_WORDS`` tokens meets
+only windows of as many words as the item's own; a repeated item is found under
 each of its ids, and items without id are not sought; repeated and null document ids are told apart by their text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from evalguard.llm import textvec
 from evalguard.llm.common import in_arrow, materialise, small
 
 WIDTH, MIN_WORDS, COVERAGE = 8, 5, 0.5
+#: So many words of an item in a row are a hit, whatever their share of a long item.
+RUN_WORDS = 20
 FILTER_BITS = 24
 #: Words that are units right after a number.
 UNITS = (
@@ -39,6 +45,7 @@ UNITS = (
     "dollar dollars euro euros cent cents usd eur mph kmh hz khz mhz ghz w kw v volt volts watt watts j cal kcal pa bar"
 ).split()
 _U = np.uint64
+RUN_BASE = _U(0xD6E8FEB86659FD93)
 NUMBER, NAME, UNIT = (textvec.mix(np.array([x], np.uint64))[0] for x in (0x11, 0x22, 0x33))
 _unit_hashes: list[np.ndarray] = []
 
@@ -50,10 +57,7 @@ def _units() -> np.ndarray:
 
 
 def template(rows: pa.Array) -> tuple[textvec.Words, np.ndarray, np.ndarray]:
-    """Words of a slice, their template hashes, and which are slots.
-
-    A decimal number's parts are a number each; adjacent number words stay apart.
-    """
+    """Words of a slice, their template hashes, and which are slots, word by word; ``tokens`` joins runs."""
     lower = textvec.words(rows)
     n = len(lower.hash)
     t, slot = lower.hash.copy(), np.zeros(n, bool)
@@ -84,112 +88,198 @@ def template(rows: pa.Array) -> tuple[textvec.Words, np.ndarray, np.ndarray]:
     return lower, t, slot
 
 
-def _windows(rows: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, textvec.Words, np.ndarray]]:
-    """(first row, window hash, window's first word, words, slots) by slice, of templates and of plain words; windows never cross rows."""
-    for at, part in textvec.slices(rows):
-        w, t, slot = template(part)
-        i = np.flatnonzero(w.row[: max(len(t) - width + 1, 0)] == w.row[width - 1 :])
-        yield at, textvec.windows(t, width)[i], i, w, slot
-        # a window without slots is its own plain form
-        total = np.concatenate([[0], np.cumsum(slot)])
-        i = i[total[i + width] > total[i]]
-        yield at, textvec.windows(w.hash, width)[i], i, w, np.zeros(len(slot), bool)
+@dataclass
+class Tokens:
+    """Template tokens: hash, whether a slot, the value behind it, first and last-plus-one word, row."""
+
+    hash: np.ndarray
+    slot: np.ndarray
+    value: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+
+
+def tokens(w: textvec.Words, t: np.ndarray, slot: np.ndarray) -> Tokens:
+    """Runs of number words (1,250 or 3.5) and of name words become one token; its value is the whole run."""
+    n = len(t)
+    head = np.ones(n, bool)
+    head[1:] = ~((t[1:] == t[:-1]) & ((t[1:] == NUMBER) | (t[1:] == NAME)) & slot[1:] & slot[:-1] & (w.row[1:] == w.row[:-1]))
+    start = np.flatnonzero(head)
+    inside = np.arange(n) - start[np.cumsum(head) - 1]
+    value = np.add.reduceat(w.hash * np.power(RUN_BASE, inside.astype(np.uint64)), start) if n else np.zeros(0, np.uint64)
+    return Tokens(t[start], slot[start], value.view(np.int64), start, np.append(start[1:], n), w.row[start])
 
 
-def _slot_values(w: textvec.Words, slot: np.ndarray, first: int, width: int) -> list[int]:
-    """Hashes of the words behind the window's placeholders."""
-    span = slice(first, first + width)
-    return w.hash[span][slot[span]].view(np.int64).tolist()
+def _slotted(k: Tokens, size: int) -> np.ndarray:
+    """First tokens of the windows that lie in one row and hold a slot; others are their own plain form."""
+    i = np.flatnonzero(k.row[: max(len(k.row) - size + 1, 0)] == k.row[size - 1 :])
+    total = np.concatenate([[0], np.cumsum(k.slot)])
+    return i[total[i + size] > total[i]]
 
 
-WINDOW_SCHEMA = "item_id long, window long, pos int, n_windows int, slots array<long>, width int"
+def _slot_values(k: Tokens, first: int, size: int) -> list[int]:
+    """Values behind the window's placeholders."""
+    span = slice(first, first + size)
+    return k.value[span][k.slot[span]].tolist()
+
+
+WINDOW_SCHEMA = "item_id long, window long, pos int, last int, n_windows int, slots array<long>, plain boolean, width int, need int"
+
+
+def _windows_of(text: pa.Array, width: int) -> list[tuple]:
+    """An item's windows, as in WINDOW_SCHEMA but for the id.
+
+    ``pos`` to ``last``: the plain windows that a hit counts for. ``need``: words that a document's window must have.
+    """
+    w, t, slot = template(text)
+    n = len(t)
+    if n < MIN_WORDS:
+        return []
+    size = min(width, n)
+    count = n - size + 1
+    out = [(x, i, i, count, [], True, size, size) for i, x in enumerate(textvec.windows(w.hash, size).view(np.int64).tolist())]
+    k = tokens(w, t, slot)
+    few = min(width, len(k.hash))
+    h = textvec.windows(k.hash, few).view(np.int64)
+    need = few if few >= min(MIN_WORDS, width) else size
+    return out + [(int(h[i]), int(k.start[i]), int(k.end[i + few - 1]) - size, count, _slot_values(k, i, few), False, few, need) for i in _slotted(k, few).tolist()]
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All windows of the items, as templates and as plain words: (item_id, window, pos, n_windows, slots, width)."""
+    """All windows of the items, as templates and as plain words, by WINDOW_SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             ids = batch.column(0).to_pylist()
             texts = textvec.strings(batch.column(1))
-            for i in range(len(texts)):
-                w, t, slot = template(texts.slice(i, 1))
-                size = min(width, len(t))
-                if size < MIN_WORDS:
-                    continue
-                h = textvec.windows(t, size).view(np.int64).tolist()
-                out += [(ids[i], x, k, len(h), _slot_values(w, slot, k, size), size) for k, x in enumerate(h)]
-                plain = textvec.windows(w.hash, size).view(np.int64).tolist()
-                out += [(ids[i], x, k, len(h), [], size) for k, x in enumerate(plain) if x != h[k]]
-            yield pa.RecordBatch.from_pylist([dict(zip(("item_id", "window", "pos", "n_windows", "slots", "width"), r, strict=True)) for r in out], schema=_ITEM_ARROW)
+            out = [(ids[i], *r) for i in range(len(texts)) for r in _windows_of(texts.slice(i, 1), width)]
+            yield pa.RecordBatch.from_pylist([dict(zip(_ITEM_ARROW.names, r, strict=True)) for r in out], schema=_ITEM_ARROW)
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     return in_arrow(rows, run, WINDOW_SCHEMA)
 
 
-_ITEM_ARROW = pa.schema([("item_id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64())), ("width", pa.int32())])
-_HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("doc_slots", pa.list_(pa.int64()))])
+_ITEM_ARROW = pa.schema(
+    [("item_id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64())), ("plain", pa.bool_()), ("width", pa.int32()), ("need", pa.int32())]
+)
+HIT_SCHEMA = "doc_id long, th long, window long, at int, words int, doc_slots array<long>"
+_HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("words", pa.int32()), ("doc_slots", pa.list_(pa.int64()))])
 
 
-def _bitmap(windows: DataFrame, bits: int) -> tuple[list[int], bytes]:
-    """Widths in use, and a bit map of hashes: distinct bytes of the map come back, at most 2**bits / 8."""
+def _bitmap(windows: DataFrame, bits: int) -> tuple[list[tuple[bool, int, int]], bytes]:
+    """Kinds of windows in use (plain, width, least words), and a bit map of hashes: distinct bytes of the map come back, at most 2**bits / 8."""
     place = F.shiftrightunsigned(F.col("window"), 64 - bits)
     words = windows.groupBy((place / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(window, %d), 64) as int))" % (64 - bits))).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most WIDTH values
-    return widths, out.tobytes()
+    kinds = sorted(tuple(r) for r in windows.groupBy("plain", "width").agg(F.min("need")).collect())  # at most 2 * WIDTH values
+    return kinds, out.tobytes()
 
 
 def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Windows of documents that the benchmark may have: (doc_id, th, window, at, doc_slots)."""
-    widths, packed = _bitmap(windows, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((widths, packed))
+    """Windows of documents that the benchmark may have, by HIT_SCHEMA: ``at`` is the first word, ``words`` their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, raw = shared.value
+        kinds, raw = shared.value
         found = np.frombuffer(raw, np.uint64)
+
+        def known(h: np.ndarray) -> np.ndarray:
+            place = h >> _U(64 - bits)
+            return (found[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
+
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(1)
-            texts = textvec.strings(batch.column(2))
             rows: list[dict] = []
-            for size in sizes:
-                for at, h, i, w, slot in _windows(texts, size):
-                    place = h >> _U(64 - bits)
-                    hit = np.flatnonzero((found[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1))
-                    for k in hit.tolist():
-                        first = int(i[k])
-                        r = int(w.row[first])
-                        rows.append({"doc_id": ids[at + r].as_py(), "th": hashes[at + r].as_py(), "window": int(h[k : k + 1].view(np.int64)[0]), "at": first - int(w.bounds[r]), "doc_slots": _slot_values(w, slot, first, size)})
+            for at, part in textvec.slices(textvec.strings(batch.column(2))):
+                w, t, slot = template(part)
+                k = tokens(w, t, slot)
+                for plain, size, need in kinds:
+                    h = textvec.windows(w.hash if plain else k.hash, size)
+                    if plain:
+                        i = np.flatnonzero(w.row[: len(h)] == w.row[size - 1 :]) if len(h) else np.zeros(0, np.int64)
+                        start, end = i, i + size
+                    else:
+                        i = _slotted(k, size)
+                        start, end = k.start[i], k.end[i + size - 1]
+                    for x in np.flatnonzero(known(h[i]) & (end - start >= need)).tolist():
+                        r = int(w.row[start[x]])
+                        rows.append({
+                            "doc_id": ids[at + r].as_py(), "th": hashes[at + r].as_py(), "window": int(h[i[x]].view(np.int64)), "at": int(start[x] - w.bounds[r]), "words": int(end[x] - start[x]),
+                            "doc_slots": [] if plain else _slot_values(k, int(i[x]), size),
+                        })
             yield pa.RecordBatch.from_pylist(rows, schema=_HIT_ARROW)
 
     text = F.col("text").cast("string")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return in_arrow(rows, run, "doc_id long, th long, window long, at int, doc_slots array<long>")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
+    return in_arrow(rows, run, HIT_SCHEMA)
+
+
+def _consistent(hits: list[dict]) -> list[dict]:
+    """The hits, if each slot value of the item stands for one value in the document; else none."""
+    now: dict[int, int] = {}
+    for h in hits:
+        for was, value in zip(h["slots"], h["doc_slots"], strict=True):
+            if now.setdefault(was, value) != value:
+                return []
+    return hits
+
+
+def _alignments(hits: list[dict], reach: int) -> list[list[dict]]:
+    """Hits of each shift, and of each chain of shifts less than ``reach`` apart."""
+    by: dict[int, list[dict]] = {}
+    for h in hits:
+        by.setdefault(h["at"] - h["pos"], []).append(h)
+    chains: list[list[int]] = []
+    for s in sorted(by):
+        if chains and s - chains[-1][-1] < reach:
+            chains[-1].append(s)
+        else:
+            chains.append([s])
+    return [*by.values(), *([h for s in c for h in by[s]] for c in chains if len(c) > 1)]
+
+
+def _judge(hits: list[dict], width: int, coverage: float, run_words: int) -> tuple[int, int, float, bool] | None:
+    """(n_hits, n_windows, coverage, exact) of the best alignment of one document and item; None if no alignment suffices."""
+    n = hits[0]["n_windows"]
+    best = None
+    for part in _alignments(hits, n + width - 1):
+        got, same = np.zeros(n, bool), np.zeros(n, bool)
+        for h in _consistent(part):
+            got[h["pos"] : h["last"] + 1] = True
+            if h["slots"] == h["doc_slots"]:
+                same[h["pos"] : h["last"] + 1] = True
+        count = int(got.sum())
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], got.view(np.int8), [0]])))
+        run = int((edges[1::2] - edges[::2]).max()) + width - 1 if count else 0
+        if count and (count / n >= coverage or run >= run_words):
+            found = (count, n, count / n, bool((same == got).all()))
+            best = found if best is None else max(best, found)
+    return best
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, th, item_id, n_hits, n_windows, coverage, exact) of each document and item it holds.
 
-    ``exact``: all slots have the original's values. Hits of one alignment (document position minus item
-    position) count together if each slot value of the item stands for one value in the document.
+    ``n_hits`` of the item's plain windows are hit. ``exact``: all slots have the original's values.
     """
     windows = materialise(item_windows(benchmark, width), "bench-windows")
     hits = document_hits(docs, windows)
-    joined = hits.join(small(windows), "window").where(F.size("slots") == F.size("doc_slots"))
-    pairs = F.explode_outer(F.arrays_zip(F.col("slots").alias("was"), F.col("doc_slots").alias("is")))
-    by = ["doc_id", "th", "item_id", (F.col("at") - F.col("pos")).alias("shift")]
-    slots_ = joined.select(*by, "pos", "n_windows", pairs.alias("pair")).select("doc_id", "th", "item_id", "shift", "pos", "n_windows", F.col("pair.was").alias("was"), F.col("pair.is").alias("now"))
-    # one row for each value of the item at this alignment: does it stand for one value only?
-    values = slots_.groupBy("doc_id", "th", "item_id", "shift", "was").agg(
-        (F.min("now").eqNullSafe(F.max("now"))).alias("one"), F.min("now").eqNullSafe(F.col("was")).alias("same"), F.collect_set("pos").alias("at"), F.max("n_windows").alias("n_windows")
-    )
-    found = values.groupBy("doc_id", "th", "item_id", "shift").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_hits"), F.max("n_windows").alias("n_windows"), F.min("one").alias("consistent"), F.min("same").alias("exact")
-    ).where("consistent").withColumn("coverage", F.col("n_hits") / F.col("n_windows")).where(F.col("coverage") >= coverage)
-    best = F.max(F.struct("n_hits", "n_windows", "coverage", "exact")).alias("best")
-    return found.groupBy("doc_id", "th", "item_id").agg(best).select("doc_id", "th", "item_id", "best.*")
+    joined = hits.join(small(windows), "window").where((F.size("slots") == F.size("doc_slots")) & (F.col("words") >= F.col("need")))
+    names = ["doc_id", "th", "item_id", "n_hits", "n_windows", "coverage", "exact"]
+
+    def run(table: pa.Table) -> pa.Table:
+        hits = table.to_pylist()
+        found = _judge(hits, width, coverage, run_words)
+        rows = [(hits[0]["doc_id"], hits[0]["th"], hits[0]["item_id"], *found)] if found else []
+        return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_FOUND_ARROW)
+
+    rows = joined.select("doc_id", "th", "item_id", "at", "pos", "last", "n_windows", "slots", "doc_slots")
+    return rows.groupBy("doc_id", "th", "item_id").applyInArrow(run, "doc_id long, th long, item_id long, n_hits long, n_windows long, coverage double, exact boolean")
+
+
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("n_hits", pa.int64()), ("n_windows", pa.int64()), ("coverage", pa.float64()), ("exact", pa.bool_())])
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -260,6 +260,33 @@ def test_copies_in_other_case_or_wrapping_are_found(spark):
     assert found(spark, texts) == dict.fromkeys(range(4), (1.0, True))
 
 
+ITEM = "The river that runs past the village carries 12 boats each day while Bob and his sister sell 40 baskets of red apples from the garden to the people who wait on the stone pier until evening comes again."
+
+
+def test_edited_copies_are_found(spark):
+    words = ITEM.split()
+    half = len(words) // 2
+    texts = [
+        " ".join([*words[:half], "quite", *words[half:]]),  # a word inserted
+        " ".join([*words[:half], *words[half + 1 :]]),  # a word dropped
+        ITEM.replace("12", "1,250").replace("40", "3.5"),  # numbers of more parts
+        ITEM.replace("Bob", "Mary Ann"),  # a name of more words
+        ITEM.replace("12", "1,250").replace("Bob", "Mary Ann").replace("red", "bright red"),
+        " ".join([*words[:half], "as we were told", *words[half : half + 9], "yes", *words[half + 9 :]]),
+        "A river runs past a village and people sell apples there, 12 or 40 of them, until evening comes.",
+    ]
+    assert sorted(found(spark, texts, ITEM)) == [0, 1, 2, 3, 4, 5]
+
+
+def test_quotations_equal_brute_force(spark):
+    """Any 20 words in a row of a long item are found, wherever they start; shorter quotations of less than half are not."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    quoted = [(a, n) for a in (0, 13, 40) for n in (12, 19, 20, 23, 30)]
+    texts = ["something else stands before it " + " ".join(words[a : a + n]) + " and after it" for a, n in quoted]
+    assert set(found(spark, texts, " ".join(words))) == {i for i, (_, n) in enumerate(quoted) if n >= 20}
+
+
 # ---- near copies
 
 
