@@ -7,8 +7,9 @@ a copy whose capitals or line breaks differ is found too. A hit counts for the i
 
 Hits of one document and item are judged at each alignment (document position minus item position) and over chains of
 alignments that lie less than the item's length apart, so that an inserted or dropped word does not part a copy. The slots behind
-the placeholders are compared: a re-parameterised question keeps one value for each value of the original. A document
-holds an item if consistent hits cover at least ``COVERAGE`` of the item's windows, or ``RUN_WORDS`` words of it in a row.
+the placeholders are compared: a re-parameterised question keeps one value for each value of the original,
+and windows that hold another value than most places of it don't count. A document holds
+an item if consistent hits cover at least ``COVERAGE`` of the item's windows, or ``RUN_WORDS`` words of it in a row.
 
 Documents are read once; a fixed-size bit map of the benchmark's hashes (``FILTER_BITS``, whatever the
 benchmark's size) drops windows that cannot hit before anything is shuffled. Hits meet the benchmark's windows in
@@ -124,7 +125,7 @@ def _slot_values(k: Tokens, first: int, size: int) -> list[int]:
     return k.value[span][k.slot[span]].tolist()
 
 
-WINDOW_SCHEMA = "item_id long, window long, pos int, last int, n_windows int, slots array<long>, plain boolean, width int, need int"
+WINDOW_SCHEMA = "item_id long, window long, pos int, last int, n_windows int, slots array<long>, slot_at array<int>, plain boolean, width int, need int"
 
 
 def _windows_of(text: pa.Array, width: int) -> list[tuple]:
@@ -138,12 +139,12 @@ def _windows_of(text: pa.Array, width: int) -> list[tuple]:
         return []
     size = min(width, n)
     count = n - size + 1
-    out = [(x, i, i, count, [], True, size, size) for i, x in enumerate(textvec.windows(w.hash, size).view(np.int64).tolist())]
+    out = [(x, i, i, count, [], [], True, size, size) for i, x in enumerate(textvec.windows(w.hash, size).view(np.int64).tolist())]
     k = tokens(w, t, slot)
     few = min(width, len(k.hash))
     h = textvec.windows(k.hash, few).view(np.int64)
     need = few if few >= min(MIN_WORDS, width) else size
-    return out + [(int(h[i]), int(k.start[i]), int(k.end[i + few - 1]) - size, count, _slot_values(k, i, few), False, few, need) for i in _slotted(k, few).tolist()]
+    return out + [(int(h[i]), int(k.start[i]), int(k.end[i + few - 1]) - size, count, _slot_values(k, i, few), k.start[i : i + few][k.slot[i : i + few]].tolist(), False, few, need) for i in _slotted(k, few).tolist()]
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -161,7 +162,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 _ITEM_ARROW = pa.schema(
-    [("item_id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64())), ("plain", pa.bool_()), ("width", pa.int32()), ("need", pa.int32())]
+    [("item_id", pa.int64()), ("window", pa.int64()), ("pos", pa.int32()), ("last", pa.int32()), ("n_windows", pa.int32()), ("slots", pa.list_(pa.int64())), ("slot_at", pa.list_(pa.int32())), ("plain", pa.bool_()), ("width", pa.int32()), ("need", pa.int32())]
 )
 HIT_SCHEMA = "doc_id long, th long, window long, at int, words int, doc_slots array<long>"
 _HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("window", pa.int64()), ("at", pa.int32()), ("words", pa.int32()), ("doc_slots", pa.list_(pa.int64()))])
@@ -217,13 +218,20 @@ def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS)
 
 
 def _consistent(hits: list[dict]) -> list[dict]:
-    """The hits, if each slot value of the item stands for one value in the document; else none."""
-    now: dict[int, int] = {}
+    """The hits whose slots agree: each value of the item stands for the value that most of its places have.
+
+    A hit with the original's own values always agrees. Where no value has more places than each other one, only the original's agrees.
+    """
+    places: dict[int, dict[int, set[int]]] = {}
     for h in hits:
-        for was, value in zip(h["slots"], h["doc_slots"], strict=True):
-            if now.setdefault(was, value) != value:
-                return []
-    return hits
+        for was, value, at in zip(h["slots"], h["doc_slots"], h["slot_at"], strict=True):
+            places.setdefault(was, {}).setdefault(value, set()).add(at)
+    stands: dict[int, int] = {}
+    for was, values in places.items():
+        most = max(map(len, values.values()))
+        first = [v for v, at in values.items() if len(at) == most]
+        stands[was] = first[0] if len(first) == 1 else was
+    return [h for h in hits if h["slots"] == h["doc_slots"] or all(stands[was] == value for was, value in zip(h["slots"], h["doc_slots"], strict=True))]
 
 
 def _alignments(hits: list[dict], reach: int) -> list[list[dict]]:
@@ -275,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         rows = [(hits[0]["doc_id"], hits[0]["th"], hits[0]["item_id"], *found)] if found else []
         return pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_FOUND_ARROW)
 
-    rows = joined.select("doc_id", "th", "item_id", "at", "pos", "last", "n_windows", "slots", "doc_slots")
+    rows = joined.select("doc_id", "th", "item_id", "at", "pos", "last", "n_windows", "slots", "slot_at", "doc_slots")
     return rows.groupBy("doc_id", "th", "item_id").applyInArrow(run, "doc_id long, th long, item_id long, n_hits long, n_windows long, coverage double, exact boolean")
 
 

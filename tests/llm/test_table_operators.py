@@ -287,6 +287,20 @@ def test_quotations_equal_brute_force(spark):
     assert set(found(spark, texts, " ".join(words))) == {i for i, (_, n) in enumerate(quoted) if n >= 20}
 
 
+def test_an_edited_value_takes_out_only_its_windows(spark):
+    again = LONG + " After that 2019 boats came home."
+    changed = again.replace("2019", "3000").replace("3000 boats", "4000 boats")
+    texts = [
+        LONG.replace("2019 stones", "2020 stones"),  # one of two equal numbers of a verbatim copy
+        LONG.replace("2019 pears", "2020 pears"),
+        LONG.replace("Carol counts", "Eve counts"),
+        changed,  # two of three places of a re-parameterised number agree
+    ]
+    got = found(spark, texts, LONG)
+    assert sorted(got) == [0, 1, 2, 3] and all(c < 1 for c, _ in (got[0], got[1])) and got[0][1] and got[1][1] and not got[3][1]
+    assert 0 < found(spark, [changed], again)[0][0] < 1
+
+
 # ---- near copies
 
 
