@@ -53,6 +53,7 @@ def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> Da
 
     Equal hashes collapse to one first, so a hot hash costs one row in the join; a pair is made only in the
     first band that it shares, so no distinct is needed. Members come back by a join on the hash.
+    Rows of one hash are no pairs here: ``equal_hash_classes`` and ``equal_hash_pairs`` report those of different content.
     """
     cut = bands(threshold)
     hashes = df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
@@ -68,6 +69,29 @@ def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> Da
     return found.join(left, "ha").join(right, "hb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
 
 
+def equal_hash_classes(df: DataFrame, sample: str, hash_: str, content: str) -> DataFrame:
+    """(sample, class_id, class_size, n_contents): rows whose hash (distance 0) stands for more than one content; class_id is the least sample."""
+    rows = df.where(F.col(hash_).isNotNull()).select(F.col(sample), F.col(hash_).alias("h"), F.col(content).alias("c"))
+    contents = rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(sample).alias("least"))
+    classes = contents.groupBy("h").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_contents")).where("n_contents > 1")
+    return rows.select(sample, "h").join(classes, "h").select(sample, "class_id", "class_size", "n_contents")
+
+
+def _pairs_by_split(df: DataFrame, keys: list[str], split: str) -> DataFrame:
+    """(x, y, n): pairs of rows that share the keys by their splits, counted from sizes and never made; x <= y."""
+    sizes = df.groupBy(*keys, F.col(split).alias("split")).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("split", "n"))).alias("s"))
+    # as many entries as splits
+    pairs = F.expr("flatten(transform(s, (a, i) -> transform(slice(s, i + 1, size(s)), (b, j) -> struct(a.split as x, b.split as y, if(j = 0, a.n * (a.n - 1) div 2, a.n * b.n) as n))))")
+    return sizes.select(F.explode(pairs).alias("p")).groupBy("p.x", "p.y").agg(F.sum("p.n").alias("n"))
+
+
+def equal_hash_pairs(df: DataFrame, hash_: str, content: str, split: str) -> DataFrame:
+    """(x, y, n): pairs of rows of equal hash and different content by their splits, x <= y."""
+    rows = df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h"), F.col(content).alias("c"), split)
+    same = _pairs_by_split(rows.where("c is not null"), ["h", "c"], split).withColumnRenamed("n", "same")
+    return _pairs_by_split(rows, ["h"], split).join(same, ["x", "y"], "left").select("x", "y", (F.col("n") - F.coalesce("same", F.lit(0))).alias("n")).where("n > 0")
+
+
 def sign_hash(vector: Column, bits: int = 64) -> Column:
     """64-bit hash of a vector's signs."""
     powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(bits)))

@@ -115,6 +115,14 @@ def dd004_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_pairs(rows, "vec_id", "h", 16)
 
 
+@query(f"""with h as (select vec_id, embedding, cast({sign_hash_sql()} as bigint) as h from embeddings where embedding is not null),
+g as (select h, min(vec_id) as class_id, count(*) as class_size, count(distinct embedding) as n_contents from h group by h having count(distinct embedding) > 1)
+select h.vec_id, g.class_id, g.class_size, g.n_contents from h join g on h.h = g.h""")
+def dd004_equal_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", duplicates.sign_hash(F.col("embedding")).alias("h"))
+    return duplicates.equal_hash_classes(rows, "vec_id", "h", "embedding")
+
+
 # ---- leakage
 
 _ENTITIES = f"with t as ({ORDERS}), e as (select o_custkey, split, count(*) as n from t group by all)"

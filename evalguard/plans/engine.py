@@ -208,8 +208,10 @@ def _near(ctx: Context) -> list[dict[str, Any]]:
     pairs = duplicates.near_pairs(ctx.df, "sample_id", "phash", t)
     side = lambda n: ctx.df.select(F.col("sample_id").alias(n), F.col(SPLIT).alias(f"split_{n}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("split_a", "split_b").alias("x"), F.greatest("split_a", "split_b").alias("y"), "distance")
+    near = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("distance").alias("least"))
+    equal = duplicates.equal_hash_pairs(ctx.df, "phash", "__row", SPLIT).withColumn("least", F.lit(0))
     out = []
-    for r in found.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("distance").alias("least")).orderBy("x", "y").collect():
+    for r in near.unionByName(equal).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("least").alias("least")).orderBy("x", "y").collect():
         cross = r["x"] != r["y"]
         out.append(finding("DD004", f"Similar images in {r['x']} and {r['y']}" if cross else f"Similar images in {r['x']}", "HIGH" if cross else "LOW", "WARNING", "POTENTIAL" if cross else "NONE", 2 * r["n"], r["x"], r["y"] if cross else None, scope=None if cross else "within_split", pairs=r["n"], least_distance=r["least"], threshold=t))
     return out

@@ -165,6 +165,22 @@ def test_images(spark, tmp_path):
     assert r.verdict == policy.INVALID
 
 
+def test_reencoded_images_of_equal_hash_are_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    tiles = [np.kron(rng.integers(0, 200, (8, 8)), np.ones((4, 4), int)).astype(np.uint8) for _ in range(6)]
+    for i, t in enumerate(tiles):
+        folder = tmp_path / "set" / ("train" if i < 4 else "test") / "ab"[i % 2]
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.png").write_bytes(png(t))
+    body = png(tiles[0])
+    text = b"tEXtComment\0saved again"
+    (tmp_path / "set" / "test" / "a" / "again.png").write_bytes(body[:33] + struct.pack(">I", len(text) - 4) + text + struct.pack(">I", zlib.crc32(text)) + body[33:])
+    r = engine.audit(spark, discovery.open_dataset(spark, f"file://{tmp_path}/set"))
+    near = [f for f in r.findings if f["rule_id"] == "DD004"]
+    assert len(near) == 1 and near[0]["severity"] == "HIGH" and near[0]["evidence"]["pairs"] == 1 and near[0]["evidence"]["least_distance"] == 0
+    assert "DD003" not in {f["rule_id"] for f in r.findings}
+
+
 def test_phash_moves_little_under_brightness():
     t = np.kron(np.random.default_rng(2).integers(0, 200, (8, 8)), np.ones((4, 4)))
     assert bin((images.phash(t) ^ images.phash(t * 1.06 + 4)) & (2**64 - 1)).count("1") <= 2

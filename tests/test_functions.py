@@ -79,6 +79,21 @@ def test_near_pairs_equal_brute_force(spark, threshold):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_equal_hashes_of_different_content_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 6)) - 2, "abc"[int(rng.integers(0, 3))], ("train", "val", "test")[int(rng.integers(0, 3))]) for i in range(60)] + [(60, 77, "a", "train"), (61, 77, "a", "test"), (62, None, "b", "test")]
+    df = spark.createDataFrame(rows, "id long, h long, c string, split string")
+    pairs = [(a, b) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] != b[2]]
+    want = {}
+    for a, b in pairs:
+        key = tuple(sorted((a[3], b[3])))
+        want[key] = want.get(key, 0) + 1
+    assert {(r["x"], r["y"]): r["n"] for r in duplicates.equal_hash_pairs(df, "h", "c", "split").collect()} == want
+    of = lambda h: [r for r in rows if r[1] == h]
+    members = {r[0]: (min(x[0] for x in of(r[1])), len(of(r[1])), len({x[2] for x in of(r[1])})) for r in {r for p in pairs for r in p}}
+    assert {r["id"]: (r["class_id"], r["class_size"], r["n_contents"]) for r in duplicates.equal_hash_classes(df, "id", "h", "c").collect()} == members
+
+
 def snapshot(spark, rows):
     return versions.snapshot(spark.createDataFrame(rows, "id string, x int, y string, split string"), ["id"], "split", "y")
 
