@@ -181,11 +181,24 @@ class Parser:
         return counts, has_letter
 
 
+def row_bound(lengths: list[int], chars: int, least: int) -> int:
+    """The least bound, from ``least`` on, at which texts of these lengths fill ``chars``; the longest length if they can't."""
+    lengths = sorted(lengths)
+    left = chars
+    for i, n in enumerate(lengths):
+        bound = -(-left // (len(lengths) - i))
+        if bound <= n:
+            return max(least, bound)
+        left -= n
+    return max(least, lengths[-1] if lengths else 0)
+
+
 def collect_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Bounded training text by language from (doc_id, text, lang).
 
     For each language and each of ``rows`` hash buckets the row of the least hash is chosen from ids
     alone, by a map-side aggregate; only the chosen rows' texts are read, and at most ``chars`` characters of each language are kept.
+    A row gives at most max(200, 4 * chars / rows) characters, or as many more as a language with few rows needs to fill its ``chars``.
     """
     spark = labelled.sparkSession
     keyed = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
@@ -194,7 +207,12 @@ def collect_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SA
         return {}
     ids = spark.createDataFrame(chosen, "lang string, doc_id long").distinct()
     per_row = max(200, 4 * chars // rows)
-    texts = labelled.where("text is not null").join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", 1, per_row).alias("text")).collect()
+    chosen_texts = labelled.where("text is not null").join(F.broadcast(ids), ["lang", "doc_id"])
+    lengths = {r["lang"]: r["n"] for r in chosen_texts.groupBy("lang").agg(F.collect_list(F.least(F.char_length("text"), F.lit(chars))).alias("n")).collect()}
+    bounds = [(lang, row_bound(n, chars, per_row)) for lang, n in lengths.items()]
+    if not bounds:
+        return {}
+    texts = chosen_texts.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound int")), "lang").select("lang", "doc_id", F.expr("substring(text, 1, bound)").alias("text")).collect()
     out: dict[str, str] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         have = out.get(r["lang"], "")

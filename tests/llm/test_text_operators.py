@@ -78,6 +78,14 @@ def test_language_of_odd_documents(odd, empty, odd_rows):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.train({})).collect()} == {"und"}
 
 
+def test_few_long_texts_fill_the_sample(spark):
+    rows = [(i, "rare word " * 4000, "aa") for i in range(5)] + [(10, "short text", "bb"), (11, "longer " * 4000, "bb")] + [(100 + i, "common word " * 50, "cc") for i in range(400)]
+    got = language_id.collect_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in got.items()} == dict.fromkeys(("aa", "bb", "cc"), language_id.SAMPLE_CHARS)
+    assert max(map(len, got["cc"].split("\n"))) == 375 and got["aa"].count("\n") == 5
+    assert [language_id.row_bound(x, 100, 5) for x in ([10, 10], [10, 500], [500] * 4, [500] * 50, [], [7] * 3)] == [10, 90, 25, 5, 5, 7]
+
+
 def test_language_on_held_out_documents(spark, small_docs):
     got = queries.op1_language_id(spark, SF).join(small_docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in small_docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
