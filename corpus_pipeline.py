@@ -16,12 +16,14 @@ from evalguard.llm.queries import table, tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language and writes it to ``lang``; those without a letter go."""
-    found = materialise(language_id.identify(docs, language_id.train(language_id.collect_sample(docs))).select("doc_id", "text_hash", "lang_pred").dropDuplicates(["doc_id", "text_hash"]), "pipeline-langs")
+    # a label of "und" names no language: it is not learned, so only documents without a letter are predicted as it
+    labelled = docs.where(~F.col("lang").eqNullSafe(language_id.UNDETERMINED))
+    found = materialise(language_id.identify(docs, language_id.train(language_id.collect_sample(labelled))).select("doc_id", "text_hash", "lang_pred").dropDuplicates(["doc_id", "text_hash"]), "pipeline-langs")
     th = F.xxhash64(docs["text"].cast("string"))
     # only documents that go, or whose language changes, need a row of their own
     old = docs.select(docs["doc_id"].cast("long").alias("doc_id"), th.alias("text_hash"), docs["lang"].alias("lang"))
     same = old["doc_id"].eqNullSafe(found["doc_id"]) & old["text_hash"].eqNullSafe(found["text_hash"])
-    changed = old.join(found, same).where(~F.col("lang").eqNullSafe(F.col("lang_pred"))).select(found["doc_id"], found["text_hash"], "lang_pred").distinct()
+    changed = old.join(found, same).where((F.col("lang_pred") == language_id.UNDETERMINED) | ~F.col("lang").eqNullSafe(F.col("lang_pred"))).select(found["doc_id"], found["text_hash"], "lang_pred").distinct()
     c = small(materialise(changed, "pipeline-changed"))
     joined = docs.join(c, docs["doc_id"].cast("long").eqNullSafe(c["doc_id"]) & th.eqNullSafe(c["text_hash"]), "left")
     kept = joined.where(F.coalesce(c["lang_pred"], F.lit("")) != language_id.UNDETERMINED)

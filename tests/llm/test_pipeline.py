@@ -27,3 +27,10 @@ def test_odd_documents_pass_all_stages(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = common.materialise(stage(spark, docs.select(*docs.columns), SF), "test-odd")
         assert docs.count() >= 0
+
+
+def test_documents_without_letters_go_whatever_their_label(spark):
+    rows = [(i, "the cat sat on the mat and looked at the dog", "en") for i in range(9)] + [(20, "12 345 %%", "und"), (21, "678 &&", "en"), (22, "the dog sat on the mat", "und"), (23, "90", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()}
+    assert kept == {**dict.fromkeys(range(9), "en"), 22: "en"}
