@@ -33,7 +33,7 @@ PATTERNS = {
     # a whole run of digits with single blanks or hyphens, of 13 to 19 digits
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,128}(?![A-Za-z0-9_/+-])",
+    "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}+",
     "local_phone": r"(?<![0-9+().-])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "hidden_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,64} ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,24}(?![A-Za-z])",
 }

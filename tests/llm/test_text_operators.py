@@ -205,6 +205,14 @@ def test_personal_data_equals_plain_python(spark, odd_rows, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_long_runs_are_secret_candidates(spark):
+    runs = [("aB3+" * 100, 1), ("aB3_" * 32 + "x", 1), ("a1" * 12, 1), ("a1" * 11 + "b", 0), ("a1/" * 200_000, 1)]
+    docs = spark.createDataFrame([(i, f"key = {t} and more") for i, (t, _) in enumerate(runs)], "doc_id long, text string")
+    for r in pii.find_spans(docs).collect():
+        t, n = runs[r["doc_id"]]
+        assert [(x["kind"], x["s"], x["e"]) for x in r["loose"]] == [("secret", 6, 6 + len(t))] * n
+
+
 def test_em_finds_the_reliable_labeler(spark):
     rng = random.Random(2)
     rows = []
