@@ -53,8 +53,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch: texts may be long, and both sides of the pipe hold whole batches.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long, and both sides of the pipe hold whole batches. A longer row stands alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 #: What an operator keeps in a worker process between its tasks, by operator.
@@ -62,13 +62,12 @@ kept_in_worker: dict[str, dict] = {}
 
 
 def in_arrow(df: DataFrame, run, schema: str, keep: str = "") -> DataFrame:
-    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows (a setting of the session, lowered if it is higher).
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows and, but for a single longer row, BATCH_BYTES.
 
+    Spark reads both from the session when the plan runs, so the session keeps them; lower values stay.
     A task drops what operators other than ``keep`` have left in its worker.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
 
     def whole(batches):
         forget_others(keep)
@@ -78,6 +77,13 @@ def in_arrow(df: DataFrame, run, schema: str, keep: str = "") -> DataFrame:
     return df.mapInArrow(whole, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(key, None) or "0"
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
+
+
 def forget_others(keep: str) -> None:
     for name in [n for n in kept_in_worker if n != keep]:
         del kept_in_worker[name]

@@ -4,12 +4,14 @@
 order, ``read_store`` reads them back (a lookup by id prunes files, stripes and row groups through
 statistics and Bloom filters), ``store_digest`` describes what the files hold.
 
-Defined cases: a null text is empty; an empty text holds only the end id; null document ids sort
-first; rows with the same id stay, ordered by their content; an empty table gives an empty store; extra columns are ignored.
+Defined cases: a null text is empty; an empty text holds only the end id; a very long text is one row of its file; null
+document ids sort first; rows with the same id stay, ordered by the hash of their content (equal rows in any order); an
+empty table gives an empty store; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from evalguard.llm.common import in_arrow, kept_in_worker, release_memory, shared_path
 
 END_ID = 0
-#: Different pretokens whose ids a worker remembers (about 50 bytes each); others are encoded when they come.
-CACHE_PRETOKENS = 300_000
+#: Different pretokens whose ids a worker remembers (about 50 bytes each); when they are full, rarely used ones go.
+CACHE_PRETOKENS = 400_000
 #: Characters encoded at once.
 PART_CHARS = 1 << 18
 
@@ -125,6 +127,9 @@ class HashTable:
             left = left[~hit & (key != 0)]
         return out
 
+    def clear(self) -> None:
+        self.keys[:] = 0
+
     def put(self, h: np.ndarray, values: np.ndarray) -> None:
         """Add distinct hashes that aren't there."""
         slot = (h & _U(self.mask)).astype(np.int64)
@@ -137,27 +142,43 @@ class HashTable:
             slot[left] = (slot[left] + 1) & self.mask
 
 
+def _byte_characters() -> np.ndarray:
+    """The character that byte-level BPE writes for each byte: printable Latin-1 ones stand for themselves, the others follow from U+0100 on."""
+    kept = np.zeros(256, bool)
+    kept[33:127] = kept[161:173] = kept[174:256] = True
+    out = np.arange(256, dtype=np.uint32)
+    out[~kept] = 256 + np.arange(256 - kept.sum())
+    return out
+
+
 class CachedEncoder:
     """Ids of whole texts, exactly those of the tokenizer, through a bounded cache of its pretokens.
 
     Merges never cross a pretoken, so a text's ids are its pretokens' ids in a row. A pretoken is
-    known by a 64-bit hash of its characters. The first ``cache`` different ones stay; later ones
-    are encoded again in each batch that has them. A text with an added token is encoded as a whole.
+    known by a 64-bit hash of its characters; unknown ones go through the library's own BPE model. When the
+    cache is full, pretokens that were not used again since the last time go, and of the others at most the
+    more frequent half of the room stays. A text with an added token is encoded as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PRETOKENS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        pre = plan.get("pre_tokenizer") or {}
+        if plan["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or plan.get("normalizer"):
+            raise ValueError(f"{path} is no byte-level BPE without normalizer")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        self.model, self.character = self.tokenizer.model, _byte_characters()
         self.pretokens = Pretokens()
         self.cache = cache
-        self.table = HashTable(2 * cache)
         # ids of all known pretokens in a row and where each begins, in arrays with room to grow
-        self.pieces, self.used = 0, 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
+        self.hashes, self.uses = np.zeros(cache, np.uint64), np.zeros(cache, np.int64)
+        self.pieces, self.used = 0, 0
+        self.table = HashTable(2 * cache)
 
     def _append(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Ids of new pretokens behind those of the known ones; they stay if ``pieces`` and ``used`` move on."""
@@ -170,30 +191,60 @@ class CachedEncoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[self.pieces + 1 : self.pieces + 1 + len(sizes)] = self.starts[self.pieces] + np.cumsum(sizes)
 
-    def _tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, flat = [], []
-        for k in range(0, len(pieces), 2_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[k : k + 2_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flat)
-
-    def _ids(self, joined: str, points: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _make_room(self) -> None:
+        """Forget pretokens that were used only once since the last time, and the rarer ones beyond half of the room."""
+        uses = self.uses[: self.pieces]
+        stay = np.flatnonzero(uses > 1)
+        if len(stay) > self.cache // 2:
+            stay = np.sort(stay[np.argsort(-uses[stay], kind="stable")[: self.cache // 2]])
+        size = np.diff(self.starts[: self.pieces + 1])[stay]
+        total = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(self.starts[stay] - total[:-1], size) + np.arange(total[-1])
+        self.flat[: total[-1]] = self.flat[where]
+        self.starts[: len(stay) + 1] = total
+        self.hashes[: len(stay)] = self.hashes[stay]
+        self.uses[: len(stay)] = uses[stay] // 2
+        self.pieces, self.used = len(stay), int(total[-1])
+        self.table.clear()
+        self.table.put(self.hashes[: self.pieces], np.arange(self.pieces))
+
+    def _tokens(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pretokens: their bytes' characters through the BPE model."""
+        size = end - begin
+        where = np.repeat(begin - (np.cumsum(size) - size), size)
+        where += np.arange(len(where))
+        chosen = points[where]
+        written = self.character[np.frombuffer(chosen.tobytes().decode("utf-32-le").encode(), np.uint8)].tobytes().decode("utf-32-le")
+        widths = np.concatenate([[0], np.cumsum(1 + (chosen > 0x7F) + (chosen > 0x7FF) + (chosen > 0xFFFF))])
+        at = widths[np.concatenate([[0], np.cumsum(size)])].tolist()
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(written[a:b])] for a, b in zip(at[:-1], at[1:], strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+
+    def _ids(self, points: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pretokens in a row, and how many each has."""
         h = self.pretokens.hashes(points, cut)
         code = self.table.find(h)
         missing = np.flatnonzero(code < 0)
         if len(missing):
             uniq, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            if self.pieces + len(uniq) > self.cache >= len(uniq):
+                self._make_room()
+                code = self.table.find(h)
+                missing = np.flatnonzero(code < 0)
+                uniq, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
             first = missing[first]
-            a, b = cut[first].tolist(), np.append(cut[1:], len(points))[first].tolist()
-            sizes, ids = self._tokens([joined[x:y] for x, y in zip(a, b, strict=True)])
+            sizes, ids = self._tokens(points, cut[first], np.append(cut[1:], len(points))[first])
             self._append(sizes, ids)
-            place = self.pieces + np.arange(len(uniq))
-            code[missing] = place[inverse]
+            code[missing] = self.pieces + inverse
             if self.pieces + len(uniq) <= self.cache:
-                self.table.put(uniq, place)
+                self.table.put(uniq, self.pieces + np.arange(len(uniq)))
+                self.hashes[self.pieces : self.pieces + len(uniq)] = uniq
+                self.uses[self.pieces : self.pieces + len(uniq)] = 0
                 self.pieces, self.used = self.pieces + len(uniq), self.used + len(ids)
+        known = code[code < self.pieces]
+        self.uses[: self.pieces] += np.bincount(known, minlength=self.pieces)
         starts, flat = self.starts, self.flat
         size = starts[code + 1] - starts[code]
         where = np.repeat(starts[code] - (np.cumsum(size) - size), size)
@@ -211,7 +262,7 @@ class CachedEncoder:
             points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)))])
             cut = self.pretokens.cuts(points, offsets)
-            ids, size = self._ids(joined, points, cut)
+            ids, size = self._ids(points, cut)
             total = np.concatenate([[0], np.cumsum(size)])
             sizes = np.diff(total[np.searchsorted(cut, offsets)])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -235,10 +286,10 @@ def _encoder(path: str, cache: int) -> CachedEncoder:
 
 
 def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETOKENS) -> DataFrame:
-    """(doc_id, token_ids) of every whole text, in the order of the rows of each partition."""
+    """(doc_id, token_ids, row) of every whole text, in the order of the rows of each partition, which ``row`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, cache)
+        encoder, row = _encoder(tokenizer_path, cache), 0
         for batch in batches:
             at = 0
             texts = batch.column(1)
@@ -251,24 +302,36 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, cache: int = CACHE_PRETO
                     to += 1
                 ids, offsets = encoder.encode(part)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["doc_id", "token_ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists, pa.array(np.arange(row, row + to - at))], ["doc_id", "token_ids", "row"])
+                row += to - at
                 at = to
             release_memory()
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, token_ids array<int>", keep=_KEEP)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, token_ids array<int>, row long", keep=_KEEP)
+
 
+#: UTF-8 bytes of text in a file of a store, more or less.
+FILE_BYTES = 64 << 20
 
-def in_doc_order(docs: DataFrame) -> DataFrame:
-    """Range-partitioned and sorted by document id; rows of one id are ordered and dealt out by content, so one hot id fills many partitions."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    return rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+
+def in_doc_order(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Range-partitioned and sorted by document id; rows of one id are ordered and dealt out by content, so one hot id fills many partitions.
+
+    There are as many partitions as the session's shuffles have (small ones are put together at run time), or more
+    if they would hold over ``file_bytes`` of text each.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    least = -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // file_bytes)
+    many = least > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartitionByRange(least, "doc_id", "th") if many else rows.repartitionByRange("doc_id", "th")).sortWithinPartitions("doc_id", "th")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, stripe_bytes: int = 64 << 20, row_index_stride: int = 10_000) -> None:
     """Write the ids of all documents as ORC files in ascending document order.
 
     ORC holds integer columns as run-length and bit-packed runs; each stripe has a row index (min and
-    max of every ``row_index_stride`` rows) and a Bloom filter on ``doc_id``. ``part`` numbers the files.
+    max of every ``row_index_stride`` rows) and a Bloom filter on ``doc_id``. ``part`` numbers the files, ``row`` the rows of a file.
     """
     tokens = encode_tokens(in_doc_order(docs), tokenizer_path).withColumn("n_tokens", F.size("token_ids")).withColumn("part", F.spark_partition_id())
     (
@@ -279,38 +342,37 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, stripe_bytes: i
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Stripe-parallel scan of a store; filters on ``doc_id`` reach the ORC reader."""
-    return spark.read.schema("doc_id long, token_ids array<int>, n_tokens int, part int").orc(path)
+    return spark.read.schema("doc_id long, token_ids array<int>, row long, n_tokens int, part int").orc(path)
 
 
 def store_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files.
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; ``start`` is the place of its first id in them, as they follow each other.
 
-    ``start`` is a two-level prefix sum: totals by file (small: one row a file), then a running sum in
+    It is a two-level prefix sum: totals by file (small: one row a file), then a running sum in
     each file. Files hold ranges of bounded size, so no task sees more than one range.
     """
     crc = crc_of(read_store(spark, path))
-    order = ["doc_id", "ids_crc32", "n_tokens"]
     totals = read_store(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select(F.col("part"), (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    inner = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return crc.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(before, "part").select(
         "doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
 def crc_of(store: DataFrame) -> DataFrame:
-    """(doc_id, part, n_tokens, ids_crc32): unsigned CRC-32 of the ids as little-endian 32-bit integers."""
+    """(doc_id, part, row, n_tokens, ids_crc32): unsigned CRC-32 of the ids as little-endian 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")
             offsets = lists.offsets.to_numpy()
             view = memoryview(values).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
-    return in_arrow(store.select("doc_id", "part", "token_ids"), run, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    return in_arrow(store.select("doc_id", "part", "row", "token_ids"), run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
 
 
 def token_store(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
