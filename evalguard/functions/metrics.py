@@ -1,7 +1,8 @@
 """Statistics of splits as plans, and their scalar forms for the driver.
 
-Plans work on long tables, one row a (column, side, value), and first count by value: windows then run
-over distinct values, partitioned by column, and never sort raw rows in one task.
+Plans work on long tables, one row a (column, side, value), and first count by value. Ranks, distribution functions and exact
+quantiles all come from that one table by running sums in two levels (``ranked``): slices of a column at approximate
+quantiles, then inside a slice. So a column of distinct values only is spread over ``SLICES`` tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 EPS = 1e-12
 PSI_BINS = 10
+SLICES = 64
 
 
 # ---- distributions over levels: rows (…by, level, p_count, q_count)
@@ -64,13 +66,40 @@ def value_counts(values: DataFrame, by: Sequence[str]) -> DataFrame:
     return values.groupBy(*by, "x").agg(F.count(F.when(F.col("side") == "ref", 1)).alias("n_ref"), F.count(F.when(F.col("side") == "tgt", 1)).alias("n_tgt"))
 
 
-def ecdf_distances(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Kolmogorov-Smirnov D and 1-D Wasserstein distance from value counts."""
-    order = Window.partitionBy(*by).orderBy("x")
-    total = Window.partitionBy(*by)
-    gap = F.abs(F.sum("n_ref").over(order) / F.sum("n_ref").over(total) - F.sum("n_tgt").over(order) / F.sum("n_tgt").over(total))
-    step = F.lead("x").over(order) - F.col("x")
-    return counts.select(*by, gap.alias("gap"), step.alias("step")).groupBy(*by).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("step", F.lit(0.0))).alias("wasserstein"))
+def ranked(counts: DataFrame, by: Sequence[str], sums: Sequence[str], slices: int = SLICES) -> DataFrame:
+    """Counts by value with, for each column c of ``sums``, c_before (its sum over smaller values) and c_all, and the next larger value."""
+    at = F.array(*(F.lit(i / slices) for i in range(1, slices)))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("x", at, F.lit(20 * slices)).alias("cuts"))  # one row a column
+    joined = counts.join(F.broadcast(cuts), list(by)) if by else counts.crossJoin(F.broadcast(cuts))
+    sliced = joined.withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
+    totals = sliced.groupBy(*by, "slice").agg(*(F.sum(c).alias(c) for c in sums), F.min("x").alias("least"))
+    order = Window.partitionBy(*by).orderBy("slice")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *by, "slice", F.lead("least").over(order).alias("__after"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in sums), *(F.sum(c).over(Window.partitionBy(*by)).alias(f"{c}_all") for c in sums)
+    )  # at most ``slices`` rows a column
+    inner = Window.partitionBy(*by, "slice").orderBy("x")
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
+    return sliced.join(F.broadcast(offsets), [*by, "slice"]).select(
+        *by, "x", *sums, *(f"{c}_all" for c in sums), F.coalesce(F.lead("x").over(inner), F.col("__after")).alias("next"),
+        *((F.col(f"__{c}") + F.coalesce(F.sum(c).over(before), F.lit(0))).alias(f"{c}_before") for c in sums),
+    )
+
+
+def ecdf() -> list[Column]:
+    """Aggregates over ranked counts: Kolmogorov-Smirnov D and the 1-D Wasserstein distance."""
+    share = lambda c: F.try_divide((F.col(f"{c}_before") + F.col(c)).cast("double"), F.col(f"{c}_all").cast("double"))
+    gap = F.abs(share("n_ref") - share("n_tgt"))
+    return [F.max(gap).alias("ks"), F.sum(gap * F.coalesce(F.col("next") - F.col("x"), F.lit(0.0))).alias("wasserstein")]
+
+
+def quantile(p: float, n: Column, before: Column, total: Column) -> Column:
+    """Aggregate over ranked counts: the exact quantile, interpolated between neighbours."""
+    place = (F.max(total) - 1) * F.lit(p)
+    inner = (total - 1) * F.lit(p)
+    at = lambda k: F.max(F.when((before <= k) & (k < before + n), F.col("x")))
+    low, high = at(F.floor(inner)), at(F.ceil(inner))
+    return low + (high - low) * (place - F.floor(place))
 
 
 def bin_index(x: Column, edges: Column) -> Column:
@@ -80,15 +109,18 @@ def bin_index(x: Column, edges: Column) -> Column:
     return F.when((x >= edges[0]) & (x <= F.element_at(edges, -1)), F.least(i, last))
 
 
-def psi(values: DataFrame, by: Sequence[str], bins: int = PSI_BINS) -> DataFrame:
-    """Population stability index on the reference's quantile edges: (…by, psi)."""
-    quantiles = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = values.where("side = 'ref'").groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile("x", quantiles))).alias("edges"))
-    joined = values.join(F.broadcast(edges), list(by)) if by else values.crossJoin(F.broadcast(edges))  # a row for each column
+def psi_edges(bins: int = PSI_BINS) -> Column:
+    """Aggregate over ranked counts: the distinct quantiles of the reference."""
+    ref = F.col("n_ref"), F.col("n_ref_before"), F.col("n_ref_all")
+    return F.array_sort(F.array_distinct(F.array(*(quantile(i / bins, *ref) for i in range(bins + 1)))))
+
+
+def psi(counts: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Population stability index of value counts on ``edges``, (…by, edges), one row a column: (…by, psi)."""
+    joined = counts.join(F.broadcast(edges), list(by)) if by else counts.crossJoin(F.broadcast(edges))
     binned = joined.where(F.size("edges") >= 2).withColumn("bin", bin_index(F.col("x"), F.col("edges"))).where("bin is not null")
-    counts = binned.groupBy(*by, "bin").agg(F.count(F.when(F.col("side") == "ref", 1)).alias("e"), F.count(F.when(F.col("side") == "tgt", 1)).alias("a"), F.first("edges").alias("edges"))
     # bins that nobody is in still count, with probability EPS on both sides: they add nothing
-    s = shares(counts, by, "e", "a")
+    s = shares(binned.groupBy(*by, "bin").agg(F.sum("n_ref").alias("e"), F.sum("n_tgt").alias("a")), by, "e", "a")
     e, a = F.greatest("p", F.lit(EPS)), F.greatest("q", F.lit(EPS))
     return s.groupBy(*by).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
@@ -96,13 +128,23 @@ def psi(values: DataFrame, by: Sequence[str], bins: int = PSI_BINS) -> DataFrame
 def rank_auc(df: DataFrame, x: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney AUC with average ranks: (…by, n, n_pos, auc), from counts by value."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.count("*").alias("n"), F.count(F.when(positive, 1)).alias("pos"))
-    order = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2
-    s = counts.withColumn("rank", rank).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("rank")).alias("ranks"))
+    rank = F.col("n_before") + (F.col("n") + 1) / 2
+    s = ranked(counts, by, ["n", "pos"]).withColumn("rank", rank).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("rank")).alias("ranks"))
     pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
     return s.withColumn("auc", F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, pos * neg)).drop("ranks")
 
 
+def cramers_v(pairs: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Association of two categorical columns from 0 to 1; null where one has a single level: (…by, cramers_v)."""
+    cells = pairs.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
+    nx, ny, n = (F.sum("n").over(Window.partitionBy(*by, *k)) for k in (("x",), ("y",), ()))
+    w = cells.withColumn("nx", nx).withColumn("ny", ny).withColumn("all", n)
+    # chi2 / n = sum(observed^2 / (row * column)) - 1, empty cells included
+    out = w.groupBy(*by).agg((F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))) - 1).alias("phi2"), F.count_distinct("x").alias("rows"), F.count_distinct("y").alias("columns"))
+    least = F.least("rows", "columns") - 1
+    return out.select(*by, F.when(least > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("phi2")) / least)).alias("cramers_v"))
+
+
 def normalised_mi(pairs: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Mutual information over the entropy of y, in nats; 0 where y has none: (…by, nmi)."""
     cells = pairs.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))

@@ -19,9 +19,12 @@ def numeric_shift(df: DataFrame, columns: Sequence[str], split: str, reference:
     """(column, n_ref, n_tgt, means, variances, smd, psi, ks, wasserstein, normalised_wasserstein) of each numeric column."""
     values = unpivot(sides(df, split, reference, target), columns, ["side"], "number")
     by = ["column"]
-    spread = values.groupBy(*by).agg((F.percentile("x", F.lit(0.95)) - F.percentile("x", F.lit(0.05))).alias("scale"))
-    distances = metrics.ecdf_distances(metrics.value_counts(values, by), by)
-    out = metrics.moments(values, by).join(metrics.psi(values, by), by, "left").join(distances, by).join(spread, by)
+    counts = metrics.value_counts(values, by)
+    every = F.col("n_ref") + F.col("n_tgt"), F.col("n_ref_before") + F.col("n_tgt_before"), F.col("n_ref_all") + F.col("n_tgt_all")
+    spread = metrics.quantile(0.95, *every) - metrics.quantile(0.05, *every)
+    found = metrics.ranked(counts, by, ["n_ref", "n_tgt"]).groupBy(*by).agg(*metrics.ecdf(), spread.alias("scale"), metrics.psi_edges().alias("edges"))  # one row a column
+    edges = found.select(*by, "edges")
+    out = metrics.moments(values, by).join(metrics.psi(counts, edges, by), by, "left").join(found.drop("edges"), by)
     flat = F.when(F.col("wasserstein") > metrics.EPS, 1.0).otherwise(0.0)
     return out.withColumn("normalised_wasserstein", F.when(F.col("scale") > metrics.EPS, F.col("wasserstein") / F.col("scale")).otherwise(flat)).drop("scale")
 

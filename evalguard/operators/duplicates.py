@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.functions import metrics
@@ -27,18 +27,20 @@ def within_split(groups: DataFrame) -> DataFrame:
     return groups.where(F.size("splits") == 1).groupBy(F.col("splits")[0].alias("split")).agg(F.count("*").alias("n_groups"), F.sum("n").alias("affected"), F.sum(F.col("n") - 1).alias("redundant"))
 
 
-def examples(df: DataFrame, digest: str, groups: DataFrame, sample: str, split: str, n_groups: int = 20, n_members: int = 10) -> DataFrame:
-    """The largest groups with their first members: a report's top-k."""
-    top = groups.orderBy(F.desc("n"), "digest").limit(n_groups)
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy(sample))
-    rows = df.select(F.col(digest).alias("digest"), sample, split).join(F.broadcast(top), "digest").withColumn("rank", rank).where(F.col("rank") <= n_members)
-    return rows.select("digest", "n", "rank", sample, split)
+def largest_groups(df: DataFrame, digest: str, sample: str, split: str, n_groups: int = 20, n_members: int = 10) -> DataFrame:
+    """(digest, n, splits, members): the largest groups with their first members; a report's top-k, kept small map side."""
+    top = digest_groups(df, digest, split).orderBy(F.desc("n"), "digest").limit(n_groups)
+    rows = df.select(F.col(digest).alias("digest"), F.col(split).alias("split"), F.col(sample).cast("string").alias("sample")).join(F.broadcast(top.select("digest")), "digest")
+    # a group's members are thinned slice by slice before they meet
+    first = rows.groupBy("digest", F.pmod(F.xxhash64("sample"), F.lit(64)).alias("slice")).agg(F.slice(F.array_sort(F.collect_set(F.struct("split", "sample"))), 1, n_members).alias("m"))
+    members = first.groupBy("digest").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, n_members).alias("members"))
+    return top.join(members, "digest").select("digest", "n", "splits", "members")
 
 
 def first_rows(df: DataFrame, digest: Column, order: str) -> DataFrame:
-    """Exact de-duplication that keeps the first row."""
-    rank = F.row_number().over(Window.partitionBy(digest).orderBy(order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """Exact de-duplication that keeps the row of least ``order``; a hot content is reduced map side."""
+    row = F.struct(*(df[c] for c in df.columns))
+    return df.groupBy(digest.alias("__digest")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
 
 
 def bands(threshold: int) -> list[tuple[int, int]]:
@@ -48,12 +50,11 @@ def bands(threshold: int) -> list[tuple[int, int]]:
     return [(i * width, (1 << width) - 1 if width < 64 else -1) for i in range(n)]
 
 
-def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> DataFrame:
-    """(a, b, distance): all pairs a < b of different 64-bit hashes within the Hamming threshold; exact, without a bucket cap.
+def near_hashes(df: DataFrame, hash_: str, threshold: int = 6) -> DataFrame:
+    """(ha, hb, distance): all pairs of different 64-bit hashes within the Hamming threshold; exact, without a bucket cap.
 
     Equal hashes collapse to one first, so a hot hash costs one row in the join; a pair is made only in the
-    first band that it shares, so no distinct is needed. Members come back by a join on the hash.
-    Rows of one hash are no pairs here: ``equal_hash_classes`` and ``equal_hash_pairs`` report those of different content.
+    first band that it shares, so no distinct is needed.
     """
     cut = bands(threshold)
     hashes = df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
@@ -63,10 +64,40 @@ def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> Da
     joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.h") < F.col("b.h")))
     xor = F.col("a.h").bitwiseXOR(F.col("b.h"))
     earlier = [F.when(F.col("a.band") > i, band(xor, s, m) != 0).otherwise(True) for i, (s, m) in enumerate(cut[:-1])]
-    found = joined.where((F.bit_count(xor) <= threshold) & (F.forall(F.array(*earlier), lambda x: x) if earlier else F.lit(True))).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), metrics.hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
+    return joined.where((F.bit_count(xor) <= threshold) & (F.forall(F.array(*earlier), lambda x: x) if earlier else F.lit(True))).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), metrics.hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
+
+
+def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> DataFrame:
+    """(a, b, distance): all pairs of rows of different hashes within the threshold, a < b; members come back by a join on the hash.
+
+    Rows of one hash are no pairs here: ``equal_hash_classes`` and ``equal_hash_pairs`` report those of different content.
+    """
     left = df.select(F.col(sample).alias("ia"), F.col(hash_).alias("ha"))
     right = df.select(F.col(sample).alias("ib"), F.col(hash_).alias("hb"))
-    return found.join(left, "ha").join(right, "hb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
+    return near_hashes(df, hash_, threshold).join(left, "ha").join(right, "hb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
+
+
+def near_counts(df: DataFrame, hashes: DataFrame, hash_: str, split: str) -> DataFrame:
+    """(x, y, n, least): pairs of rows behind pairs of hashes by their splits, x <= y, counted from sizes and never made."""
+    sizes = df.where(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h"), F.col(split).alias("split")).agg(F.count("*").alias("n"))
+    own = sizes.groupBy("h").agg(F.collect_list(F.struct("split", "n")).alias("s"))  # as many entries as splits
+    a, b = own.select(F.col("h").alias("ha"), F.col("s").alias("sa")), own.select(F.col("h").alias("hb"), F.col("s").alias("sb"))
+    both = F.expr("flatten(transform(sa, p -> transform(sb, q -> struct(least(p.split, q.split) as x, greatest(p.split, q.split) as y, p.n * q.n as n))))")
+    return hashes.join(a, "ha").join(b, "hb").select("distance", F.explode(both).alias("p")).groupBy("p.x", "p.y").agg(F.sum("p.n").alias("n"), F.min("distance").alias("least"))
+
+
+def closest_examples(df: DataFrame, hashes: DataFrame, sample: str, hash_: str, content: str, split: str, k: int = 20) -> DataFrame:
+    """(x, y, a, b, distance): for each two splits, k pairs of least distance; one row stands for each content, hash and split."""
+    rows = df.where(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h"), F.col(split).alias("split")).agg(F.min(F.struct(F.col(sample).cast("string").alias("id"), F.col(content).alias("c"))).alias("lo"), F.max(F.struct(F.col(content).alias("c"), F.col(sample).cast("string").alias("id"))).alias("hi"))
+    one = rows.select("h", "split", F.col("lo.id").alias("id"), F.col("lo.c").alias("c"))
+    other = one.unionByName(rows.select("h", "split", F.col("hi.id").alias("id"), F.col("hi.c").alias("c")))
+    pick = lambda d, n: d.select(F.col("h").alias(f"h{n}"), F.col("split").alias(f"s{n}"), F.col("id").alias(f"i{n}"), F.col("c").alias(f"c{n}"))
+    near = hashes.join(pick(one, "a"), "ha").join(pick(one, "b"), "hb").select("sa", "sb", "ia", "ib", "distance")
+    equal = pick(other, "a").join(pick(other, "b"), F.col("ha") == F.col("hb")).where("not ca <=> cb and (sa < sb or sa = sb and ia < ib)").select("sa", "sb", "ia", "ib", F.lit(0).alias("distance"))
+    x = near.unionByName(equal).select(F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"), F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance").distinct()
+    # the k least of each two splits are kept map side
+    part = x.groupBy("x", "y", F.pmod(F.xxhash64("a", "b"), F.lit(64))).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "a", "b"))), 1, k).alias("m"))
+    return part.groupBy("x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, k).alias("m")).select("x", "y", F.explode("m").alias("e")).select("x", "y", "e.a", "e.b", "e.distance")
 
 
 def equal_hash_classes(df: DataFrame, sample: str, hash_: str, content: str) -> DataFrame:

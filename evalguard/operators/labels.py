@@ -49,3 +49,10 @@ def shift(df: DataFrame, label: str, split: str, reference: str) -> DataFrame:
     count = lambda c: F.coalesce(F.try_element_at("by", c), F.lit(0))
     table = by_class.withColumn("split", F.explode(F.array(*map(F.lit, others)).cast("array<string>"))).select("split", "label", count(F.col("split")).alias("n"), count(F.lit(reference)).alias("r"))
     return metrics.shares(table, ["split"], "r", "n").groupBy("split").agg(metrics.tv().alias("tv"), metrics.jensen_shannon().alias("js"), F.count(F.when((F.col("n") > 0) & (F.col("r") > 0), 1)).alias("common_classes"))
+
+
+def movers(df: DataFrame, label: str, split: str, reference: str, target: str, k: int = 20) -> DataFrame:
+    """(label, p, q): the classes whose shares differ most between two splits; a report's top-k."""
+    rows = df.select(F.col(split).alias("split"), canon.clean_label(F.col(label)).alias("label")).where(F.col("label").isNotNull() & F.col("split").isin(reference, target))
+    counts = rows.groupBy("label").agg(F.count(F.when(F.col("split") == reference, 1)).alias("r"), F.count(F.when(F.col("split") == target, 1)).alias("t"))
+    return metrics.shares(counts, [], "r", "t").select("label", "p", "q").orderBy(F.desc(F.abs(F.col("p") - F.col("q"))), "label").limit(k)

@@ -70,6 +70,19 @@ def feature_nmi(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
     return metrics.normalised_mi(unpivot(df.where(F.col(label).isNotNull()), features, [label], "cell"), "x", label, ["column"])
 
 
+def quantile_binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """The frame with each column's numbers replaced by their quantile bin, 0 to ``bins`` - 1; other cells are bin 0."""
+    counts = unpivot(df, columns, [], "number").groupBy("column", "x").agg(F.count("*").alias("n"))
+    own = F.col("n"), F.col("n_before"), F.col("n_all")
+    found = metrics.ranked(counts, ["column"], ["n"]).groupBy("column").agg(F.array(*(metrics.quantile(i / bins, *own) for i in range(bins + 1))).alias("edges"))
+    out = df
+    for r in found.collect():  # a row a column
+        number = F.col(r["column"]).cast("double")
+        inner = F.array(*(F.lit(x) for x in sorted(set(r["edges"]))[1:-1])).cast("array<double>")
+        out = out.withColumn(r["column"], F.when(number.isNull(), 0).otherwise(F.size(F.filter(inner, lambda e: e <= number))))  # noqa: B023
+    return out
+
+
 def unique_ratio(df: DataFrame, columns: Sequence[str], split: str) -> DataFrame:
     """(split, column, n_rows, n_unique, ratio); distinct values are exact, from one long aggregate."""
     sizes = df.groupBy(split).agg(F.count("*").alias("n_rows"))

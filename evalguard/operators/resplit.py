@@ -12,7 +12,8 @@ from evalguard.functions import canon
 
 ROLE_ORDER = {"train": 0, "val": 1, "test": 2}
 NO_ENTITY = "__missing_entity__"
-SLICES = 4096
+#: Units that one task of the greedy rule holds at most.
+SLICE_UNITS = 100_000
 
 
 def normalise(ratios: dict[str, float]) -> dict[str, float]:
@@ -37,18 +38,15 @@ def _order_key(seed: int) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), "stratum", "unit").cast("binary"), 256)
 
 
-def assign_greedy(u: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
+def assign(u: DataFrame, ratios: dict[str, float], seed: int, slice_units: int = SLICE_UNITS) -> DataFrame:
     """(unit, split): in each stratum, units in hash order go where rows fall shortest of the ratio.
 
-    The choice depends on all choices before, so a stratum is one sequential task over its units, one row an
-    entity. ``assign_sliced`` bounds that for large strata.
+    The choice depends on all choices before, so it is a sequential task over units, one row an entity. A stratum
+    of more than ``slice_units`` is cut into that many more hash slices, each as near to the ratios: no task holds more.
     """
-    return _greedy(u.withColumn("slice", F.lit(0)), ratios, seed)
-
-
-def assign_sliced(u: DataFrame, ratios: dict[str, float], seed: int, slices: int = SLICES) -> DataFrame:
-    """The same within hash slices of each stratum: parallel, bounded tasks, and each slice as near to the ratios."""
-    return _greedy(u.withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(slices)).cast("int")), ratios, seed)
+    sizes = u.groupBy("stratum").agg(F.ceil(F.count("*") / F.lit(slice_units)).alias("slices"))
+    sliced = u.join(sizes, "stratum").withColumn("slice", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.col("slices")).cast("int")).drop("slices")
+    return _greedy(sliced, ratios, seed)
 
 
 def _greedy(u: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
@@ -80,14 +78,19 @@ def assign_rows(u: DataFrame, ratios: dict[str, float], seed: int, period: int =
     """(unit, split) for units of weight 1, without Python: rank in the stratum modulo a period of the greedy choices."""
     spark = u.sparkSession
     table = spark.createDataFrame(list(enumerate(cycle(ratios, period))), "k long, split string")
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(_order_key(seed), "unit")) - 1
-    return u.withColumn("k", F.pmod(rank, F.lit(period)).cast("long")).join(F.broadcast(table), "k").select("unit", "split")  # ``period`` rows
+    # ranks in two levels: the hash key's first digits, then inside them
+    keyed = u.withColumn("key", _order_key(seed)).withColumn("head", F.substring("key", 1, 2))
+    sizes = keyed.groupBy("stratum", "head").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("stratum").orderBy("head")) - F.col("n")
+    inner = F.row_number().over(Window.partitionBy("stratum", "head").orderBy("key", "unit")) - 1
+    ranked = keyed.withColumn("inner", inner).join(sizes.select("stratum", "head", before.alias("before")), ["stratum", "head"])
+    return ranked.withColumn("k", F.pmod(F.col("before") + F.col("inner"), F.lit(period)).cast("long")).join(F.broadcast(table), "k").select("unit", "split")  # ``period`` rows
 
 
-def split_rows(df: DataFrame, ratios: dict[str, float], order: str, entity: str | None = None, label: str | None = None, seed: int = 1337, sliced: bool = False) -> DataFrame:
+def split_rows(df: DataFrame, ratios: dict[str, float], order: str, entity: str | None = None, label: str | None = None, seed: int = 1337) -> DataFrame:
     """All rows with a new column ``split``."""
     u = units(df, entity, label, order)
-    assigned = (assign_sliced if sliced else assign_greedy)(u, normalise(ratios), seed)
+    assigned = assign(u, normalise(ratios), seed)
     unit = F.coalesce(canon.entity_key(F.col(entity)), F.lit(NO_ENTITY)) if entity else F.col(order).cast("string")
     return df.withColumn("__unit", unit).join(assigned.withColumnRenamed("unit", "__unit"), "__unit").drop("__unit")
 

@@ -63,53 +63,61 @@ def finding_changes(before: list[dict] | None, after: list[dict] | None) -> dict
     return out
 
 
-def manifest_hash(snap: DataFrame, prefix: int = 4) -> str:
-    """Order-independent hash of (split, label, content): digests by prefix first, then at most 16**prefix of them."""
-    line = F.sha2(F.concat_ws(canon.SEP, "split", F.coalesce("label", F.lit(canon.NULL_CELL)), "content").cast("binary"), 256).alias("d")
-    buckets = snap.select(line).groupBy(F.substring("d", 1, prefix).alias("b")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("d"))).cast("binary"), 256).alias("h"))
-    return hashlib.sha256("".join(r["h"] for r in buckets.orderBy("b").collect()).encode()).hexdigest()[:32]
+def manifest_hash(snap: DataFrame) -> str:
+    """Order-independent hash of the multiset of (split, label, content): sums of digest parts, so that one row returns at any size."""
+    line = F.sha2(F.concat_ws(canon.SEP, "split", F.coalesce("label", F.lit(canon.NULL_CELL)), "content").cast("binary"), 256)
+    parts = [F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(4)]
+    r = snap.select(line.alias("d")).agg(F.count("*").alias("n"), *parts).first()
+    return hashlib.sha256("|".join(str(x or 0) for x in r).encode()).hexdigest()[:32]
 
 
-def _pair(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
-    """One-to-one matches on a digest, in the order of ids; each row of a content pairs with one of the other side."""
-    order = Window.partitionBy(key).orderBy("sample_id")
-    number = lambda d: d.where(F.col(key).isNotNull()).withColumn("k", F.row_number().over(order))
-    a = number(left).select(key, "k", F.col("sample_id").alias("id_a"), F.col("split").alias("split_a"), F.col("label").alias("label_a"))
-    b = number(right).select(key, "k", F.col("sample_id").alias("id_b"), F.col("split").alias("split_b"), F.col("label").alias("label_b"))
-    return a.join(b, [key, "k"]).select("id_a", "id_b", "split_a", "split_b", "label_a", "label_b", F.lit(by).alias("matched_by"))
+_PAIR_SLICES = 64
+_SIDE = "struct<id:string,split:string,label:string,content:string,features:string>"
+
+
+def _pair(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows (a, b, matched_by) with one side each become pairs one-to-one by a digest; those that are pairs stay, and so does what finds no partner.
+
+    The k-th row of a digest on one side meets the k-th of the other. Rows are numbered slice by slice, so a hot digest is no single task.
+    """
+    one = F.coalesce("a", "b")
+    alone = F.concat_ws("|", F.lit("~"), F.col("a").isNotNull().cast("string"), one["id"])  # pairs nothing
+    own = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), alone).otherwise(F.coalesce(one[key], alone))
+    keyed = rows.withColumn("key", own).withColumn("side", F.col("a").isNotNull()).withColumn("id", one["id"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(_PAIR_SLICES)))
+    sizes = keyed.groupBy("key", "side", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key", "side").orderBy("slice")) - F.col("n")
+    number = F.row_number().over(Window.partitionBy("key", "side", "slice").orderBy("id"))
+    numbered = keyed.join(sizes.select("key", "side", "slice", before.alias("before")), ["key", "side", "slice"]).withColumn("k", F.col("before") + number)
+    met = numbered.groupBy("key", "k").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("matched_by").alias("matched_by"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return met.select("a", "b", F.coalesce("matched_by", F.when(both, by)).alias("matched_by"))
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """(kind, id_a, id_b, split_a, split_b, label_a, label_b, matched_by): every difference of two snapshots.
 
     Kinds: moved, renamed, relabelled, modified, added, removed. Rows with the same id are compared; the
-    others are paired by content, then by features; what is left was added or removed.
+    others are paired by content, then by features; what is left was added or removed. A row of several kinds is listed under each.
     """
-    a = old.select("sample_id", *(F.col(c).alias(f"{c}_a") for c in ("split", "label", "content", "features")))
-    b = new.select("sample_id", *(F.col(c).alias(f"{c}_b") for c in ("split", "label", "content", "features")))
-    both = a.join(b, "sample_id", "full")
-    shared = both.where("content_a is not null and content_b is not null").select(F.col("sample_id").alias("id_a"), F.col("sample_id").alias("id_b"), "split_a", "split_b", "label_a", "label_b", F.lit("id").alias("matched_by"), (~F.col("features_a").eqNullSafe(F.col("features_b"))).alias("modified"))
-    left = old.join(new.select("sample_id"), "sample_id", "left_anti")
-    right = new.join(old.select("sample_id"), "sample_id", "left_anti")
-    first = _pair(left, right, "content", "content")
-    left2 = left.join(first.select(F.col("id_a").alias("sample_id")), "sample_id", "left_anti")
-    right2 = right.join(first.select(F.col("id_b").alias("sample_id")), "sample_id", "left_anti")
-    second = _pair(left2, right2, "features", "features")
-    paired = first.unionByName(second)
-    gone = left2.join(second.select(F.col("id_a").alias("sample_id")), "sample_id", "left_anti")
-    came = right2.join(second.select(F.col("id_b").alias("sample_id")), "sample_id", "left_anti")
-    cols = ["id_a", "id_b", "split_a", "split_b", "label_a", "label_b", "matched_by"]
-    every = shared.unionByName(paired.withColumn("modified", F.lit(False)))
-    moved = ~F.col("split_a").eqNullSafe(F.col("split_b"))
-    parts = [
-        every.where(moved).select(F.lit("moved").alias("kind"), *cols),
-        every.where(~moved & (F.col("id_a") != F.col("id_b"))).select(F.lit("renamed").alias("kind"), *cols),
-        every.where(~F.col("label_a").eqNullSafe(F.col("label_b"))).select(F.lit("relabelled").alias("kind"), *cols),
-        every.where("modified").select(F.lit("modified").alias("kind"), *cols),
-    ]
-    none = F.lit(None).cast("string")
-    parts.append(gone.select(F.lit("removed").alias("kind"), F.col("sample_id").alias("id_a"), none.alias("id_b"), F.col("split").alias("split_a"), none.alias("split_b"), F.col("label").alias("label_a"), none.alias("label_b"), none.alias("matched_by")))
-    parts.append(came.select(F.lit("added").alias("kind"), none.alias("id_a"), F.col("sample_id").alias("id_b"), none.alias("split_a"), F.col("split").alias("split_b"), none.alias("label_a"), F.col("label").alias("label_b"), none.alias("matched_by")))
+    side = lambda d, name: d.select("sample_id", F.struct(F.col("sample_id").alias("id"), "split", "label", "content", "features").cast(_SIDE).alias(name))
+    both = side(old, "a").join(side(new, "b"), "sample_id", "full").select("a", "b")
+    have = F.col("a").isNotNull() & F.col("b").isNotNull()
+    same = both.where(have).withColumn("matched_by", F.lit("id"))
+    loose = both.where(~have).withColumn("matched_by", F.lit(None).cast("string"))
+    every = same.unionByName(_pair(_pair(loose, "content", "content"), "features", "features"))
+    a, b = F.col("a"), F.col("b")
+    differs = lambda f: ~a[f].eqNullSafe(b[f])
+    kinds = F.when(b.isNull(), F.array(F.lit("removed"))).when(a.isNull(), F.array(F.lit("added"))).otherwise(F.filter(F.array(
+        F.when(differs("split"), "moved"), F.when(~differs("split") & differs("id"), "renamed"), F.when(differs("label"), "relabelled"), F.when((F.col("matched_by") == "id") & differs("features"), "modified"),
+    ), lambda k: k.isNotNull()))
+    return every.select(F.explode(kinds).alias("kind"), a["id"].alias("id_a"), b["id"].alias("id_b"), a["split"].alias("split_a"), b["split"].alias("split_b"), a["label"].alias("label_a"), b["label"].alias("label_b"), "matched_by")
+
+
+def listed(changes: DataFrame, most: int = 2000) -> DataFrame:
+    """The first rows of each kind, for a report."""
+    order = ["id_a", "id_b", "split_a", "split_b"]
+    kinds = ("added", "removed", "modified", "moved", "relabelled", "renamed")
+    parts = [changes.where(F.col("kind") == k).orderBy(*order).limit(most) for k in kinds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,6 +6,7 @@ Each rule is a plan that returns a few rows (per split, column or class); only t
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -24,6 +25,8 @@ from evalguard.plans.registry import RULES, rank
 SPLIT = frames.SPLIT
 #: Rules that run at once.
 THREADS = 8
+#: Classes that a report lists, the largest first.
+MAX_CLASSES = 1000
 FINDING_SCHEMA = (
     "finding_id string, rule_id string, title string, category string, severity string, status string, evidence_type string, formal_impact string, "
     "affected_count long, source_split string, target_split string, columns array<string>, evidence string"
@@ -52,6 +55,8 @@ class AuditSpec:
     images: bool = False
     unreadable: list[str] = field(default_factory=list)
     baseline: DataFrame | None = None
+    #: Why the baseline can't be compared, if so.
+    incomparable: str | None = None
 
     @classmethod
     def of(cls, df: DataFrame, split: str, label: str | None = None, groups: list[str] | None = None, ids: list[str] | None = None, temporal: str | None = None, **raw: Any) -> AuditSpec:
@@ -62,6 +67,13 @@ class AuditSpec:
         names = sorted(r[0] for r in tagged.select(SPLIT).distinct().collect())  # splits are few
         return cls(tagged, {n: tagged.where(F.col(SPLIT) == n).drop(SPLIT) for n in names}, config)
 
+    @property
+    def columnar(self) -> bool:
+        """Whether all rows come from files that are read column by column, so that reading them again is cheap."""
+        plan = self.samples._jdf.queryExecution().analyzed().toString()
+        leaves = re.findall(r"^[\s:+|-]*((?:Relation|LogicalRDD|LocalRelation|Range|MapInArrow|MapInPandas|InMemoryRelation|Join)\b.*)$", plan, re.MULTILINE)
+        return bool(leaves) and all(re.search(r"\] (?:parquet|orc)$", x.strip()) for x in leaves)
+
     @classmethod
     def of_splits(cls, splits: dict[str, DataFrame], config: policy.Config, **more: Any) -> AuditSpec:
         return cls(frames.stack(splits), splits, config, **more)
@@ -90,9 +102,6 @@ class Context:
     def __init__(self, spark: SparkSession, spec: AuditSpec) -> None:
         self.spark, self.spec, self.config = spark, spec, spec.config
         df = spec.samples
-        if self.config.sampling:
-            fraction, seed = self.config.sampling
-            df = df.where(canon.sampled(seed, canon.row_key(df, df.columns), fraction))
         self.columns = [c for c in df.columns if c != SPLIT]
         label = self.config.label
         if label is None:  # the usual names, in this order
@@ -102,10 +111,14 @@ class Context:
         self.features = [c for c in self.columns if c not in special]
         content = [c for c in self.columns]
         features = [c for c in self.columns if c != self.label and c not in self.config.ids]
-        if spec.images:  # the file's bytes are its content
-            self.df = df.withColumn("__row", F.col("sha256")).withColumn("__features", F.col("sha256"))
-        else:
-            self.df = df.withColumn("__row", canon.digest(df, content)).withColumn("__features", canon.digest(df, features) if features else F.lit(None).cast("string"))
+        # the file's bytes are an image's content
+        self.row = F.col("sha256") if spec.images else canon.digest(df, content)
+        self.same = F.col("sha256") if spec.images else canon.digest(df, features) if features else F.lit(None).cast("string")
+        self.df = df
+        key = [canon.cell(df[c], df.schema[c].dataType) for c in (self.config.ids if not spec.images and all(c in self.columns for c in self.config.ids) else [])]
+        sample = F.col("sample_id") if "sample_id" in self.columns else F.concat_ws("/", *key) if key else self.row
+        #: Keys and digests only: what the rules on contents share.
+        self.digests = df.select(sample.alias("__sample"), F.col(SPLIT), *([F.col(self.label)] if self.label else []), self.row.alias("__row"), self.same.alias("__features"))
         self.kinds = {f.name: f.dataType for f in df.schema.fields}
         self.sizes = {n: 0 for n in spec.splits} | {r[SPLIT]: r["count"] for r in self.df.groupBy(SPLIT).count().collect()}
         self.total = sum(self.sizes.values())
@@ -150,9 +163,9 @@ def rule(*ids: str):
 
 
 def identity(ctx: Context) -> dict[str, Any]:
-    snap = versions.snapshot(ctx.df.drop("__row", "__features"), ctx.config.ids, SPLIT, ctx.label)
-    h = versions.manifest_hash(snap)
-    classes = {r["label"]: r["n"] for r in labels.class_counts(ctx.df, ctx.label).collect()} if ctx.label else {}
+    by = ctx.digests.select(F.col(SPLIT).alias("split"), (F.col(ctx.label).cast("string") if ctx.label else F.lit(None).cast("string")).alias("label"), F.col("__row").alias("content"))
+    h = versions.manifest_hash(by)
+    classes = {r["label"]: r["n"] for r in labels.class_counts(ctx.df, ctx.label).orderBy(F.desc("n"), "label").limit(MAX_CLASSES).collect()} if ctx.label else {}
     return {
         "dataset_id": "ds_" + h[:8], "manifest_hash": h, "config_hash": ctx.config.hash(), "num_samples": ctx.total, "split_sizes": ctx.sizes, "class_counts": classes,
         "schema": {c: canon.logical_type(ctx.df, c) for c in ctx.columns}, "dataset_type": "image" if ctx.spec.images else "tabular",
@@ -181,16 +194,24 @@ def _splits(ctx: Context) -> list[dict[str, Any]]:
 
 @rule("DD003")
 def _exact(ctx: Context) -> list[dict[str, Any]]:
-    groups = duplicates.digest_groups(ctx.df.where("__row is not null"), "__row", SPLIT).persist()
+    rows = ctx.digests.where("__row is not null")
+    groups = duplicates.digest_groups(rows, "__row", SPLIT).persist()
     try:
         out = []
-        for r in duplicates.cross_split(groups).collect():
+        cross, within = duplicates.cross_split(groups).collect(), duplicates.within_split(groups).orderBy("split").collect()
+        top = [r.asDict(recursive=True) for r in duplicates.largest_groups(rows, "__row", "__sample", SPLIT, 200).orderBy(F.desc("n"), "digest").collect()] if cross or within else []
+
+        def largest(*splits: str) -> list[dict[str, Any]]:
+            mine = [g for g in top if (set(splits) <= set(g["splits"]) if len(splits) > 1 else g["splits"] == list(splits))]
+            return [{"digest": g["digest"], "n": g["n"], "members": [f"{m['split']}:{m['sample']}" for m in g["members"]]} for g in mine[:20]]
+
+        for r in cross:
             hard = {canon.role_of(r["split_a"]), canon.role_of(r["split_b"])} >= {"train", "test"}
-            out.append(finding("DD003", f"Identical samples in {r['split_a']} and {r['split_b']}", "CRITICAL" if hard else "HIGH", "FAIL", "BLOCKING", r["affected"], r["split_a"], r["split_b"], groups=r["n_groups"], redundant=r["redundant"]))
+            out.append(finding("DD003", f"Identical samples in {r['split_a']} and {r['split_b']}", "CRITICAL" if hard else "HIGH", "FAIL", "BLOCKING", r["affected"], r["split_a"], r["split_b"], groups=r["n_groups"], redundant=r["redundant"], largest=largest(r["split_a"], r["split_b"])))
         order = lambda f: (f["severity"] != "CRITICAL", "test" not in (f["source_split"], f["target_split"]), -f["evidence"]["groups"])
         out.sort(key=order)
-        for r in duplicates.within_split(groups).orderBy("split").collect():
-            out.append(finding("DD003", f"Repeated samples in {r['split']}", "MEDIUM", "WARNING", "POTENTIAL", r["affected"], r["split"], scope="within_split", groups=r["n_groups"], redundant=r["redundant"]))
+        for r in within:
+            out.append(finding("DD003", f"Repeated samples in {r['split']}", "MEDIUM", "WARNING", "POTENTIAL", r["affected"], r["split"], scope="within_split", groups=r["n_groups"], redundant=r["redundant"], largest=largest(r["split"])))
         return out
     finally:
         groups.unpersist()
@@ -205,15 +226,20 @@ def _near(ctx: Context) -> list[dict[str, Any]]:
     if ctx.df.where("phash is not null").limit(2).count() < 2:
         raise NoEvidence("fewer than two hashes")
     t = int(ctx.block("DD004")["hamming_threshold"])
-    pairs = duplicates.near_pairs(ctx.df, "sample_id", "phash", t)
-    side = lambda n: ctx.df.select(F.col("sample_id").alias(n), F.col(SPLIT).alias(f"split_{n}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("split_a", "split_b").alias("x"), F.greatest("split_a", "split_b").alias("y"), "distance")
-    near = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("distance").alias("least"))
-    equal = duplicates.equal_hash_pairs(ctx.df, "phash", "__row", SPLIT).withColumn("least", F.lit(0))
+    rows = ctx.df.select("sample_id", "phash", SPLIT, F.col("sha256").alias("__row"))
+    hashes = duplicates.near_hashes(rows, "phash", t).persist()
+    try:
+        near = duplicates.near_counts(rows, hashes, "phash", SPLIT)
+        equal = duplicates.equal_hash_pairs(rows, "phash", "__row", SPLIT).withColumn("least", F.lit(0))
+        counts = near.unionByName(equal).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("least").alias("least")).orderBy("x", "y").collect()
+        examples = [r.asDict() for r in duplicates.closest_examples(rows, hashes, "sample_id", "phash", "__row", SPLIT).collect()] if counts else []
+    finally:
+        hashes.unpersist()
     out = []
-    for r in near.unionByName(equal).groupBy("x", "y").agg(F.sum("n").alias("n"), F.min("least").alias("least")).orderBy("x", "y").collect():
+    for r in counts:
         cross = r["x"] != r["y"]
-        out.append(finding("DD004", f"Similar images in {r['x']} and {r['y']}" if cross else f"Similar images in {r['x']}", "HIGH" if cross else "LOW", "WARNING", "POTENTIAL" if cross else "NONE", 2 * r["n"], r["x"], r["y"] if cross else None, scope=None if cross else "within_split", pairs=r["n"], least_distance=r["least"], threshold=t))
+        mine = [{"a": e["a"], "b": e["b"], "distance": e["distance"]} for e in examples if (e["x"], e["y"]) == (r["x"], r["y"])]
+        out.append(finding("DD004", f"Similar images in {r['x']} and {r['y']}" if cross else f"Similar images in {r['x']}", "HIGH" if cross else "LOW", "WARNING", "POTENTIAL" if cross else "NONE", 2 * r["n"], r["x"], r["y"] if cross else None, scope=None if cross else "within_split", pairs=r["n"], least_distance=r["least"], threshold=t, closest=mine))
     return out
 
 
@@ -221,28 +247,31 @@ def _near(ctx: Context) -> list[dict[str, Any]]:
 def _groups(ctx: Context) -> list[dict[str, Any]]:
     if not ctx.config.groups:
         raise NotApplicable("no group column is declared")
+    present = [c for c in ctx.config.groups if c in ctx.columns]
+    absent = [c for c in ctx.config.groups if c not in ctx.columns]
+    if not present:
+        raise NoEvidence(f"there is no column {', '.join(absent)}")
+    ctx.needs_splits()
     out = []
-    for column in ctx.config.groups:
-        if column not in ctx.columns:
-            raise NoEvidence(f"there is no column {column}")
-        ctx.needs_splits()
+    for column in present:
         coverage = leakage.entity_coverage(ctx.df, column, SPLIT).collect()
         rows, missing = sum(r["rows"] for r in coverage), sum(r["missing"] for r in coverage)
-        facts = {"rows": rows, "missing": missing, "coverage": round(1 - missing / rows, 6) if rows else 0.0}
+        facts = {"rows": rows, "missing": missing, "coverage": round(1 - missing / rows, 6) if rows else 0.0} | ({"absent_columns": absent} if absent else {})
         if missing == rows:
             out.append(finding("DD005", f"{column} names no entity", "HIGH", "INCONCLUSIVE", "BLOCKING", rows, columns=[column], **facts))
             continue
         pairs = leakage.entity_pairs(ctx.df, column, SPLIT).orderBy("split_a", "split_b").collect()
         if pairs:
-            top = [r["entity"] for r in leakage.largest_entities(ctx.df, column, SPLIT).collect()]
+            top = [r.asDict() for r in leakage.largest_entities(ctx.df, column, SPLIT, 200).collect()]
             for r in pairs:
                 hard = {r["split_a"], r["split_b"]} == {"train", "test"}
-                out.append(finding("DD005", f"{column}: entities in {r['split_a']} and {r['split_b']}", "CRITICAL" if hard else "HIGH", "FAIL", "BLOCKING", r["affected_rows"], r["split_a"], r["split_b"], [column], entities=r["n_entities"], n_examples=len(top), **facts))
+                largest = [{"entity": e["entity"], "rows": e["n"], "splits": e["splits"]} for e in top if {r["split_a"], r["split_b"]} <= set(e["splits"])][:20]
+                out.append(finding("DD005", f"{column}: entities in {r['split_a']} and {r['split_b']}", "CRITICAL" if hard else "HIGH", "FAIL", "BLOCKING", r["affected_rows"], r["split_a"], r["split_b"], [column], entities=r["n_entities"], largest=largest, **facts))
             continue
         checked = rows - missing
         if sum(r["distinct_entities"] for r in coverage) / checked > 0.98:
             out.append(finding("DD005", f"{column} looks like a row id, not an entity", "LOW", "WARNING", "NONE", columns=[column], **facts))
-        elif missing:
+        if missing:
             out.append(finding("DD005", f"{column} is missing in {missing} rows", "LOW", "WARNING", "NONE", missing, columns=[column], **facts))
     return out
 
@@ -310,15 +339,9 @@ def _target(ctx: Context) -> list[dict[str, Any]]:
     if block["heuristic"] and len(classes) <= 50 and soft:
         auc = {r["column"]: r["auc"] for r in leakage.feature_auc(rows, soft, F.col(ctx.label).cast("string") == classes[-1]).where(F.col("n") >= 0.8 * n).collect()}
         levels = {r["column"]: r["n_f"] for r in facts.values()}
-        binned = rows
         edges = max(2, min(10, int(n**0.5)))
         cuts = [c for c in soft if c in numbers and levels[c] > 2]
-        if cuts:
-            q = F.array(*(F.lit(i / edges) for i in range(edges + 1)))
-            found = rows.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in cuts)).first()
-            for c in cuts:
-                e = sorted(set(found[c]))
-                binned = binned.withColumn(c, sum((F.when(F.col(c).cast("double") >= x, 1).otherwise(0) for x in e[1:-1]), F.lit(0)))
+        binned = leakage.quantile_binned(rows, cuts, edges) if cuts else rows
         nmi = {r["column"]: r["nmi"] for r in leakage.feature_nmi(binned, soft, ctx.label).collect()}
         for c in soft:
             a, m = auc.get(c) if levels[c] > 2 else None, nmi.get(c)
@@ -329,15 +352,14 @@ def _target(ctx: Context) -> list[dict[str, Any]]:
 
 @rule("DD008")
 def _identifiers(ctx: Context) -> list[dict[str, Any]]:
-    columns = [c for c in ctx.features if c != ctx.config.temporal]
     out, seen = [], set()
-    if not columns:
+    if not ctx.features:
         return out
     limit = ctx.block("DD008")["unique_ratio"]
-    for r in leakage.unique_ratio(ctx.df, columns, SPLIT).where(F.col("ratio") >= limit).orderBy("split", "column").collect():
+    for r in leakage.unique_ratio(ctx.df, ctx.features, SPLIT).where(F.col("ratio") >= limit).orderBy("split", "column").collect():
         if r["column"] not in seen:
             seen.add(r["column"])
-            out.append(finding("DD008", f"{r['column']} is almost unique in {r['split']}", "MEDIUM" if leakage.looks_like_id(r["column"]) else "LOW", "WARNING", "POTENTIAL", r["n_unique"], r["split"], columns=[r["column"]], ratio=r["ratio"]))
+            out.append(finding("DD008", f"{r['column']} is almost unique in {r['split']}", "MEDIUM" if leakage.looks_like_id(r["column"]) else "LOW", "WARNING", "POTENTIAL", r["n_rows"], r["split"], columns=[r["column"]], unique=r["n_unique"], ratio=r["ratio"]))
     return out
 
 
@@ -346,7 +368,7 @@ def _conflicts(ctx: Context) -> list[dict[str, Any]]:
     if not ctx.label:
         raise NoEvidence("no label column")
     out = []
-    for r in labels.conflict_summary(labels.conflicts(ctx.df.where("__features is not null"), "__features", ctx.label, SPLIT)).orderBy("scope").collect():
+    for r in labels.conflict_summary(labels.conflicts(ctx.digests.where("__features is not null"), "__features", ctx.label, SPLIT)).orderBy("scope").collect():
         role = canon.role_of(r["scope"])
         severity, status, impact = ("CRITICAL", "FAIL", "BLOCKING") if r["scope"] == "cross" else ("HIGH", "FAIL", "BLOCKING") if role in ("val", "test") else ("MEDIUM", "WARNING", "POTENTIAL")
         where = "across splits" if r["scope"] == "cross" else f"in {r['scope']}"
@@ -381,6 +403,7 @@ def _imbalance(ctx: Context) -> list[dict[str, Any]]:
     if r["n_classes"] == 1:
         return [finding("DD011", "There is one class", "HIGH", "WARNING", "POTENTIAL", r["rows"], **facts)]
     block = ctx.block("DD011")
+    facts["smallest_classes"] = [{"class": c["label"], "count": c["n"]} for c in labels.class_counts(ctx.df, ctx.label).where("label != '<unlabeled>'").orderBy("n", "label").limit(5).collect()]
     if r["imbalance_ratio"] > block["max_imbalance_ratio"] or r["minority_share"] < block["min_minority_ratio"]:
         return [finding("DD011", "Classes are unbalanced", "MEDIUM" if r["minority_share"] < 0.1 * block["min_minority_ratio"] else "LOW", "WARNING", "POTENTIAL", round(r["minority_share"] * r["rows"]), **facts)]
     return []
@@ -421,7 +444,7 @@ def _label_shift(ctx: Context) -> list[dict[str, Any]]:
     ctx.needs_splits()
     ref, out = ctx.reference(), []
     for r in labels.shift(ctx.df, ctx.label, SPLIT, ref).where(F.col("tv") >= ctx.block("DD013")["min_tv_distance"]).orderBy("split").collect():
-        out.append(finding("DD013", f"{ref} vs {r['split']}", "HIGH" if r["tv"] >= 0.3 else "MEDIUM" if r["tv"] >= 0.15 else "LOW", "WARNING", "POTENTIAL", ctx.sizes[r["split"]], ref, r["split"], [ctx.label], tv=r["tv"], js=r["js"], common_classes=r["common_classes"]))
+        out.append(finding("DD013", f"{ref} vs {r['split']}", "HIGH" if r["tv"] >= 0.3 else "MEDIUM" if r["tv"] >= 0.15 else "LOW", "WARNING", "POTENTIAL", ctx.sizes[r["split"]], ref, r["split"], [ctx.label], tv=r["tv"], js=r["js"], common_classes=r["common_classes"], movers=[{"class": m["label"], "reference": m["p"], "target": m["q"]} for m in labels.movers(ctx.df, ctx.label, SPLIT, ref, r["split"]).collect()]))
     return out
 
 
@@ -503,14 +526,17 @@ def _image_shift(ctx: Context) -> list[dict[str, Any]]:
 def _drift(ctx: Context) -> list[dict[str, Any]]:
     if ctx.spec.baseline is None:
         raise NotApplicable("no baseline version")
-    now = versions.snapshot(ctx.df.drop("__row", "__features"), ctx.config.ids, SPLIT, ctx.label).persist()
+    if ctx.spec.incomparable:
+        return [finding("DD018", "The baseline can't be compared", "MEDIUM", "INCONCLUSIVE", "NONE", why=ctx.spec.incomparable)]
+    now = versions.snapshot(ctx.df, ctx.config.ids, SPLIT, ctx.label).persist()
     changes = versions.compare(ctx.spec.baseline, now).persist()
     try:
         n = {r["kind"]: r["n"] for r in versions.summary(changes).collect()}
         if not n:
             return []
         touched = sum(n.get(k, 0) for k in ("added", "removed", "modified"))
-        out = [finding("DD018", "The dataset changed since the baseline", "MEDIUM" if touched / max(1, ctx.total) >= 0.05 else "LOW", "WARNING", "POTENTIAL", sum(n.values()), **n)]
+        samples = [r.asDict() for r in versions.listed(changes, 50).select("kind", "id_a", "id_b", "split_a", "split_b", "label_a", "label_b").collect()]
+        out = [finding("DD018", "The dataset changed since the baseline", "MEDIUM" if touched / max(1, ctx.total) >= 0.05 else "LOW", "WARNING", "POTENTIAL", sum(n.values()), **n, samples=samples)]
         if n.get("moved"):
             into_test = not changes.where("kind = 'moved' and split_b = 'test'").isEmpty()
             out.append(finding("DD019", f"{n['moved']} samples changed their split", "CRITICAL" if into_test else "HIGH", "FAIL", "BLOCKING", n["moved"], into_test=into_test))
@@ -543,7 +569,11 @@ def _private(ctx: Context) -> list[dict[str, Any]]:
 def audit(spark: SparkSession, spec: AuditSpec) -> Report:
     """Run every rule; a rule that can't answer says so, and never stops the others."""
     ctx = Context(spark, spec)
-    ctx.df = ctx.df.persist()
+    # contents are digested once; other rules read their own columns, from the files where those hold columns apart
+    ctx.digests = ctx.digests.persist()
+    again = not spec.columnar
+    if again:
+        ctx.df = ctx.df.persist()
     findings, outcomes = [], []
     asked: dict[str, Future] = {}
     shared: dict[Callable, Future] = {}
@@ -582,7 +612,9 @@ def audit(spark: SparkSession, spec: AuditSpec) -> Report:
         facts = next((f["evidence"] for f in findings if f["rule_id"] == "DD001"), None) or identity(ctx)
         return Report(verdict, reasons, findings, outcomes, facts)
     finally:
-        ctx.df.unpersist()
+        ctx.digests.unpersist()
+        if again:
+            ctx.df.unpersist()
 
 
 def _timed(run: Callable[[Context], list[dict[str, Any]]], ctx: Context) -> tuple[list[dict[str, Any]], int]:

@@ -120,9 +120,12 @@ def test_manifest_hash_ignores_order_and_partitions(spark):
 
 def test_entity_split_is_disjoint_and_seeded(spark):
     rows = spark.createDataFrame([(i, f"p{i // 6}", "ab"[i // 6 % 2]) for i in range(120)], "i long, p string, y string")
-    one = lambda seed, sliced=False: sorted(tuple(r) for r in resplit.split_rows(rows, {"train": 0.5, "test": 0.5}, "i", "p", "y", seed, sliced).select("i", "p", "split").collect())
+    one = lambda seed: sorted(tuple(r) for r in resplit.split_rows(rows, {"train": 0.5, "test": 0.5}, "i", "p", "y", seed).select("i", "p", "split").collect())
     a = one(1)
     assert a == one(1) and a != one(2) and len(a) == 120
-    for done in (a, one(1, True)):
+    units = resplit.units(rows, "p", "y", "i")
+    sliced = {r["unit"]: r["split"] for r in resplit.assign(units, {"train": 0.5, "test": 0.5}, 1, slice_units=3).collect()}  # more units than a task may hold
+    assert len(sliced) == 20 and 5 <= sum(s == "train" for s in sliced.values()) <= 15
+    for done in (a, [(i, p, sliced[p]) for i, p, _ in a]):
         assert all(len({s for _, p, s in done if p == q}) == 1 for q in {p for _, p, _ in done})
     assert abs(sum(s == "train" for _, _, s in a) - 60) <= 6
