@@ -1,7 +1,7 @@
 """Vectorised words, shingles and their 64-bit hashes over Arrow string columns (numpy only).
 
 A word is a maximal run of ASCII letters, ASCII digits and code points from U+0080 on, lower-cased.
-No loop over characters or words runs in Python; texts are handled in slices of about a megabyte,
+No loop over characters or words runs in Python; texts are handled in slices of about a quarter of a megabyte,
 so memory does not grow with the batch.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 WORD_PATTERN = "[0-9a-z\u0080-\U0010ffff]+"
 
 _U = np.uint64
