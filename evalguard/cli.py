@@ -7,15 +7,14 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from evalguard.operators import resplit, versions
+from evalguard import api
+from evalguard.api import CONFIG_NAME
 from evalguard.plans import engine, report
-from evalguard.plans.policy import PRESETS, Config, ConfigError, exit_code
+from evalguard.plans.policy import PRESETS, ConfigError, exit_code
 from evalguard.sources import discovery, tables
 
-CONFIG_NAME = "evalguard.yaml"
 TEMPLATE = """# evalguard
 preset: standard
 dataset:
@@ -35,15 +34,8 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("evalguard").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
-def config_for(root: str, path: str | None) -> Config:
-    if path:
-        return Config.load(path)
-    near = Path(root.removeprefix("file://")) / CONFIG_NAME
-    return Config.load(near) if near.is_file() else Config()
-
-
 def _spec(args: argparse.Namespace, spark: SparkSession) -> engine.AuditSpec:
-    config = config_for(args.path, args.config)
+    config = api.config_for(args.path, args.config)
     for name, key in (("label", "label"), ("temporal", "temporal"), ("split_column", "split_column")):
         if getattr(args, name, None):
             setattr(config, key, getattr(args, name))
@@ -54,18 +46,6 @@ def _spec(args: argparse.Namespace, spark: SparkSession) -> engine.AuditSpec:
     return discovery.open_dataset(spark, args.path, config)
 
 
-def _snapshot(ctx: engine.Context) -> DataFrame:
-    return versions.snapshot(ctx.df.drop("__row", "__features"), ctx.config.ids, engine.SPLIT, ctx.label)
-
-
-def _open(spark: SparkSession, path: str, args: argparse.Namespace) -> tuple[DataFrame, dict]:
-    """A saved snapshot, or a dataset's own."""
-    if Path(path.removeprefix("file://"), "header").exists():
-        return versions.read_snapshot(spark, path)
-    ctx = engine.Context(spark, discovery.open_dataset(spark, path, config_for(path, args.config)))
-    return _snapshot(ctx), {"dataset_type": "image" if ctx.spec.images else "tabular", "mode": "full"}
-
-
 def parse_ratios(text: str) -> dict[str, float]:
     """train=0.7,val=0.1,test=0.2 or 70/10/20."""
     try:
@@ -77,33 +57,6 @@ def parse_ratios(text: str) -> dict[str, float]:
         raise ConfigError(f"no ratios: {text}") from e
 
 
-def split(spark: SparkSession, args: argparse.Namespace) -> int:
-    out = Path(args.out)
-    if out.exists() and any(out.iterdir()):
-        raise ConfigError(f"{out} is not empty")
-    if Path(args.path).resolve().is_relative_to(out.resolve()):
-        raise ConfigError("the output would hold the source")
-    spec = _spec(args, spark)
-    df = spec.samples.drop(engine.SPLIT)
-    df = df.withColumn("__row", F.monotonically_increasing_id()).persist()
-    ratios = resplit.normalise(parse_ratios(args.ratios))
-    if args.dedupe:
-        from evalguard.functions import canon
-        from evalguard.operators.duplicates import first_rows
-
-        df = first_rows(df, canon.digest(df, [c for c in df.columns if c != "__row"]), "__row").persist()
-    done = resplit.split_rows(df, ratios, "__row", args.group[0] if args.group else None, spec.config.label, args.seed).persist()
-    off = resplit.deviation(done, ratios).collect()
-    if empty := [r["split"] for r in off if not r["rows"]]:
-        raise ConfigError(f"nothing would be written: {', '.join(empty)} would be empty")
-    for name in ratios:
-        tables.write_table(done.where(F.col("split") == name).drop("split", "__row"), str(out / f"{name}.{args.format}"))
-    facts = {r["split"]: {"rows": r["rows"], "share": r["share"], "wanted": r["wanted"]} for r in off}
-    report.write(out / "split-manifest.json", json.dumps({"seed": args.seed, "ratios": ratios, "group": args.group, "splits": facts, "approximate": any(r["off"] > 0.05 for r in off)}, indent=1))
-    print(json.dumps(facts))
-    return 0
-
-
 def demo(spark: SparkSession, folder: str) -> None:
     """A small clinical table with planted leaks, as train.csv and test.csv."""
     rows = [(f"r{i:05d}", f"p{i // 4:03d}", 40 + i % 20, "MF"[i // 2 % 2], round(20 + (i * 0.618) % 10, 4), i % 2) for i in range(240)]
@@ -137,15 +90,24 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--ratios", default="70/10/20")
     x.add_argument("--seed", type=int, default=1337)
     x.add_argument("--dedupe", action="store_true")
-    x.add_argument("--format", default="parquet")
+    x.add_argument("--format")
+    x.add_argument("--entity-from", dest="entity_from", help="a pattern that finds an image's entity in its path")
+    f = sub.choices["fingerprint"]
+    f.add_argument("--mode", choices=("full", "sampled", "metadata"), default="full")
+    f.add_argument("--fraction", type=float, default=1.0)
+    f.add_argument("--seed", type=int, default=1337)
+    sub.choices["snapshot"].add_argument("--audited", action="store_true")
     d = sub.add_parser("diff")
     d.add_argument("old")
     d.add_argument("new")
     d.add_argument("--config")
-    for name in ("report", "show"):
-        r = sub.add_parser(name)
-        r.add_argument("path")
-        r.add_argument("--form", default="md", choices=("md", "html", "json"))
+    d.add_argument("--out")
+    r = sub.add_parser("report")
+    r.add_argument("path")
+    r.add_argument("--form", default="md", choices=("md", "html", "json"))
+    w = sub.add_parser("show")
+    w.add_argument("path")
+    w.add_argument("finding", nargs="?")
     sub.add_parser("rules")
     for name in ("init", "demo"):
         sub.add_parser(name).add_argument("path", nargs="?", default=".")
@@ -163,49 +125,73 @@ def run(argv: list[str] | None = None) -> int:
             raise ConfigError(f"{target} exists")
         report.write(target, TEMPLATE)
         return 0
-    if args.command in ("report", "show"):
+    if args.command == "report":
         print(report.render(json.loads(Path(args.path).read_text()), args.form))
         return 0
+    if args.command == "show":
+        print(show(args.path, args.finding))
+        return 0
     spark = session()
     if args.command == "demo":
         demo(spark, args.path)
         return 0
     if args.command == "diff":
-        (old, a), (new, b) = _open(spark, args.old, args), _open(spark, args.new, args)
-        if why := versions.comparable(a, b):
-            print(f"not comparable: {why}")
+        found = api.diff(spark, args.old, args.new, args.config)
+        if not found["comparable"]:
+            print(f"not comparable: {found['reason']}")
             return 2
-        rows = versions.summary(versions.compare(old.persist(), new.persist())).orderBy("kind").collect()
-        print(json.dumps([r.asDict() for r in rows]))
-        return int(any(r["kind"] == "moved" and r["into_test"] for r in rows))
-    if args.command == "split":
-        return split(spark, args)
+        if args.out:
+            report.write(Path(args.out), json.dumps(found, indent=1, default=str))
+        print(json.dumps(found["counts"]))
+        for kind, rows in found["findings"].items():
+            for r in rows:
+                print(f"{kind}: {' '.join(str(x) for x in r if x)}")
+        return int(any(r["kind"] == "moved" and r["into_test"] for r in found["counts"]))
     spec = _spec(args, spark)
+    if args.command == "split":
+        if not args.out:
+            raise ConfigError("--out is needed")
+        print(json.dumps(api.split(spark, args.path, spec, args.out, parse_ratios(args.ratios), args.group[0] if args.group else None, args.seed, args.dedupe, args.format, args.entity_from)))
+        return 0
     if args.command == "audit":
-        if args.baseline:
-            spec.baseline = _open(spark, args.baseline, args)[0]
-        found = engine.audit(spark, spec)
+        found = api.audit(spark, spec, args.baseline, args.config)
         if args.out:
             report.write_all(found, args.out)
         print(report.markdown(found))
         return exit_code(found.verdict, found.findings, found.outcomes, args.ci, args.strict, args.fail_on)
-    ctx = engine.Context(spark, spec)
     if args.command == "snapshot":
         if not args.out:
             raise ConfigError("--out is needed")
-        versions.write_snapshot(_snapshot(ctx), args.out, {"dataset_type": "image" if spec.images else "tabular", "mode": "full", "identity": engine.identity(ctx)})
+        api.snapshot(spark, spec, args.out, args.audited)
         return 0
-    facts = engine.identity(ctx)
-    print(json.dumps(facts if args.command == "scan" else {k: facts[k] for k in ("dataset_id", "manifest_hash", "config_hash")}, indent=1, default=str))
+    facts = api.scan(spark, spec) if args.command == "scan" else api.fingerprint(spark, spec, args.out, args.mode, args.fraction, args.seed)
+    print(json.dumps(facts, indent=1, default=str))
     return 0
 
 
+def show(path: str, finding: str | None) -> str:
+    """One finding of a saved report in full, or the list of them."""
+    data = json.loads(Path(path).read_text())
+    if finding is None:
+        return "\n".join(f"{f['finding_id']}  {f['severity']:<8}  {f['status']:<12}  {f['title']}" for f in data["findings"])
+    found = [f for f in data["findings"] if f["finding_id"] == finding or f["rule_id"] == finding]
+    if not found:
+        raise ConfigError(f"there is no finding {finding}")
+    return json.dumps(found, indent=1)
+
+
 def main() -> None:
     try:
-        sys.exit(run())
+        code = run()
     except (ConfigError, tables.Unreadable) as e:
         print(f"error: {e}", file=sys.stderr)
-        sys.exit(2)
+        code = 2
+    except KeyboardInterrupt:
+        code = 130
+    except Exception as e:  # anything else is a fault of this program
+        print(f"internal error: {type(e).__name__}: {e}", file=sys.stderr)
+        code = 3
+    sys.exit(code)
 
 
 if __name__ == "__main__":

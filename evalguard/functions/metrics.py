@@ -125,6 +125,11 @@ def psi(counts: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     return s.groupBy(*by).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
+def psi_usable(n_target: Column | int, threshold: float) -> Column | bool:
+    """Whether a target is large enough that the index's noise, 9 degrees of freedom over its rows, stays below the threshold."""
+    return 9 / n_target < threshold
+
+
 def rank_auc(df: DataFrame, x: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney AUC with average ranks: (…by, n, n_pos, auc), from counts by value."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("x")).agg(F.count("*").alias("n"), F.count(F.when(positive, 1)).alias("pos"))

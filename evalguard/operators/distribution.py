@@ -29,6 +29,12 @@ def numeric_shift(df: DataFrame, columns: Sequence[str], split: str, reference:
     return out.withColumn("normalised_wasserstein", F.when(F.col("scale") > metrics.EPS, F.col("wasserstein") / F.col("scale")).otherwise(flat)).drop("scale")
 
 
+def profile(df: DataFrame, columns: Sequence[str], split: str) -> DataFrame:
+    """(split, column, n, mean, std, sample_std): std is the population's."""
+    long = unpivot(df, columns, [split], "number")
+    return long.groupBy(F.col(split).alias("split"), "column").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.stddev_samp("x").alias("sample_std"))
+
+
 def categorical_shift(df: DataFrame, columns: Sequence[str], split: str, reference: str, target: str, max_levels: int = MAX_LEVELS) -> DataFrame:
     """(column, levels, tv, js) of each column with at most ``max_levels`` levels on both sides together."""
     values = unpivot(sides(df, split, reference, target), columns, ["side"], "text")

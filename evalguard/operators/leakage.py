@@ -70,6 +70,12 @@ def feature_nmi(df: DataFrame, features: Sequence[str], label: str) -> DataFrame
     return metrics.normalised_mi(unpivot(df.where(F.col(label).isNotNull()), features, [label], "cell"), "x", label, ["column"])
 
 
+def correlations(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """(column, r): Pearson's correlation of each numeric column with a numeric label, all in one aggregate."""
+    wide = df.agg(*(F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in columns))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("r")) for c in columns))).alias("e")).select("e.*")
+
+
 def quantile_binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
     """The frame with each column's numbers replaced by their quantile bin, 0 to ``bins`` - 1; other cells are bin 0."""
     counts = unpivot(df, columns, [], "number").groupBy("column", "x").agg(F.count("*").alias("n"))

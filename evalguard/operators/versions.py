@@ -40,6 +40,9 @@ def manifest(df: DataFrame, ids: Sequence[str], split: str, label: str | None, g
         raise ValueError(f"no mode {mode}")
     snap = snapshot(df, ids, split, label, extra={"__sample": sample if sample is not None else id_of(df, ids or [c for c in df.columns if c != split], split), "__groups": F.create_map(*(x for g in groups for x in (F.lit(g), F.col(g).cast("string")))) if groups else F.create_map().cast("map<string,string>")})
     hashed = {"full": F.lit(True), "metadata": F.lit(False), "sampled": canon.sampled(seed, F.col("__sample"), fraction)}[mode]
+    if mode == "sampled":  # never nothing: the least sample stands in
+        r = snap.agg(F.count(F.when(hashed, 1)).alias("n"), F.min("__sample").alias("least")).first()
+        hashed = hashed if r["n"] else F.col("__sample") == F.lit(r["least"])
     role = F.when(F.lower("split").isin(*canon.TRAIN_NAMES), "train").when(F.lower("split").isin(*canon.VAL_NAMES), "val").when(F.lower("split").isin(*canon.TEST_NAMES), "test").otherwise("unknown")
     return snap.withColumn("hash_sampled", hashed).select("sample_id", "split", role.alias("role"), "label", F.col("__groups").alias("groups"), "hash_sampled", F.when(F.col("hash_sampled"), F.col("content")).alias("content"), F.when(F.col("hash_sampled"), F.col("features")).alias("features"))
 
@@ -134,6 +137,23 @@ def write_snapshot(snap: DataFrame, path: str, header: dict) -> None:
     snap.sparkSession.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
+def write_manifest(rows: DataFrame, path: str, header: dict) -> None:
+    """A manifest as JSON lines, its header beside it."""
+    rows.write.mode("errorifexists").json(f"{path}/records", ignoreNullFields=False)
+    rows.sparkSession.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/header")
+
+
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The records and header of a written manifest."""
+    kinds = "sample_id string, split string, role string, label string, groups map<string,string>, hash_sampled boolean, content string, features string"
+    return spark.read.schema(kinds).json(f"{path}/records"), json.loads(spark.read.text(f"{path}/header").first()[0])
+
+
+def findings_digest(findings: list[dict]) -> list[dict]:
+    """What a snapshot keeps of an audit: enough to match findings of two versions."""
+    return [{"rule_id": f["rule_id"], "source_split": f["source_split"], "target_split": f["target_split"], "affected_count": f["affected_count"], "severity": f["severity"], "metadata": {"scope": f["metadata"].get("scope")}} for f in findings]
+
+
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/records"), json.loads(spark.read.text(f"{path}/header").first()[0])
 

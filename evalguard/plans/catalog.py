@@ -417,3 +417,6 @@ def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = labelled(spark, sf_dir).select("text", "lang", "source", "quality", "split")
     report = audit(spark, AuditSpec.of(docs, "split", label="quality"))
     return spark.createDataFrame([(report.verdict, len(report.findings), sum(f["formal_impact"] == "BLOCKING" for f in report.findings))], "verdict string, findings int, blocking int")
+
+
+from evalguard.plans import more_queries as _more  # noqa: E402, F401  registers its queries here

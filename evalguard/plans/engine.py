@@ -319,7 +319,7 @@ def _target(ctx: Context) -> list[dict[str, Any]]:
     facts = {r["column"]: r for r in leakage.functional(rows, features, ctx.label).collect()} if features else {}
     numbers = set(ctx.numeric(features))
     binary = len(classes) == 2 and canon.is_numeric(kind)
-    corr = rows.agg(*(F.corr(F.col(c).cast("double"), F.col(ctx.label).cast("double")).alias(c) for c in numbers)).first() if numbers and binary else None
+    corr = {r["column"]: r["r"] for r in leakage.correlations(rows, sorted(numbers), ctx.label).collect()} if numbers and binary else None
     for c in features:
         f = facts[c]
         why = None
@@ -421,7 +421,7 @@ def _feature_shift(ctx: Context) -> list[dict[str, Any]]:
             for r in distribution.numeric_shift(ctx.df, numbers, SPLIT, ref, target).where(f"n_ref >= {distribution.MIN_VALUES} and n_tgt >= {distribution.MIN_VALUES}").collect():
                 constant = r["smd"] is None  # both sides constant, at different values
                 smd = float("inf") if constant else abs(r["smd"])
-                usable = 9 / r["n_tgt"] < block["min_psi"]
+                usable = metrics.psi_usable(r["n_tgt"], block["min_psi"])
                 if smd >= block["min_std_mean_diff"] or (usable and r["psi"] is not None and r["psi"] >= block["min_psi"]):
                     rows.append({"column": r["column"], "abs_smd": smd, "psi": r["psi"], "psi_usable": usable, "ks": r["ks"], "p": metrics.ks_p_value(r["ks"], r["n_ref"], r["n_tgt"]), "wasserstein": r["wasserstein"]})
             if len(rows) > 1:

@@ -101,15 +101,16 @@ def entity_of_path(path: F.Column, pattern: str) -> F.Column:
     return F.when(path.rlike(pattern), F.regexp_extract(path, pattern, group))
 
 
-def copy_split(assigned: DataFrame, root: str, out: str) -> int:
-    """Copy (relative_path, split) files into ``out/split/...`` from the executors; returns the number of files.
+def copy_split(assigned: DataFrame, out: str) -> int:
+    """Copy (relative_path, split, origin) files to ``out/split/relative_path`` from the executors; returns the number of files.
 
-    Both folders must be reachable under one path from every executor; bytes come through Spark's binaryFile source.
+    Bytes are read by Spark's binaryFile source; ``out`` must be reachable under one path from every executor.
     """
     spark = assigned.sparkSession
-    prefix = "/" + root.removeprefix("file:").strip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^(file:)?/*", "/").alias("key"), "content")
-    rows = files.join(assigned.select(F.concat(F.lit(prefix), "relative_path").alias("key"), "relative_path", "split"), "key").select("relative_path", "split", "content")
+    key = lambda c: F.regexp_replace(c, "^(file:)?/*", "/")
+    roots = sorted(r[0] for r in assigned.select(F.regexp_replace("origin", "/[^/]*$", "").alias("d")).distinct().collect())  # folders
+    files = spark.read.format("binaryFile").load([f"{r}/*" for r in roots]).select(key(F.col("path")).alias("key"), "content")
+    rows = files.join(assigned.select(key(F.col("origin")).alias("key"), "relative_path", "split"), "key").select("relative_path", "split", "content")
     target = out.removeprefix("file://")
 
     def write(part) -> None:
@@ -151,5 +152,5 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     inspected = F.lower("key").rlike("(" + "|".join(s.replace(".", r"\.") for s in DECODED) + ")$")
     return joined.select(
         rel.alias("relative_path"), F.when(~F.lower(label).isin(*NO_LABELS), label).alias("label"), F.col("length").alias("size"), "sha256", ((F.col("length") == 0) | (inspected & F.col("width").isNull())).alias("corrupt"),
-        (inspected | (F.col("length") == 0)).alias("inspected"), "width", "height", "channels", "brightness", "contrast", "phash",
+        (inspected | (F.col("length") == 0)).alias("inspected"), F.col("path").alias("origin"), "width", "height", "channels", "brightness", "contrast", "phash",
     )

@@ -28,7 +28,13 @@ def suffix(path: str) -> str:
 def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
     """The first bytes of a file, through Hadoop's file systems."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():  # as a Spark writer leaves it
+        parts = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(p) if f.getLen() and not f.getPath().getName().startswith(("_", ".")))
+        if not parts:
+            return b""
+        p = parts[0][1]
+    stream = fs.open(p)
     try:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
     finally:
@@ -48,12 +54,18 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     start = head(spark, path).decode("utf-8", "replace")
     if not start.strip():
         raise Unreadable(f"{path} is empty")
-    df = spark.read.csv(path, header=True, sep=sep or delimiter(start), multiLine=True, escape='"', inferSchema=False)
+    df = spark.read.csv(path, header=True, sep=sep or delimiter(start), multiLine=broken_lines(spark, path), escape='"', inferSchema=False)
     for c in df.columns:
         df = df.withColumn(c, F.when(~F.trim(F.col(f"`{c}`")).isin(*canon.CSV_NULLS), F.col(f"`{c}`")))
     return infer_types(df)
 
 
+def broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes on over a line's end: only then must a file be read as a whole, by one task."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns become bool, long, double or timestamp if all their cells are."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -167,10 +179,22 @@ def read_tables(spark: SparkSession, paths: Sequence[str], sheet: str | None = N
         except Exception as e:  # whatever a reader raises is reported, not fatal
             bad.append(f"{path}: {type(e).__name__}")
             continue
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        out = part if out is None else _union(out, part)
     return out, bad
 
 
+def _union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both by column name; where types differ the column becomes text."""
+    kinds = dict(b.dtypes)
+    odd = [c for c, kind in a.dtypes if c in kinds and kinds[c] != kind]
+    as_text = {c: F.col(f"`{c}`").cast("string") for c in odd}
+    return a.withColumns(as_text).unionByName(b.withColumns(as_text), allowMissingColumns=True) if odd else a.unionByName(b, allowMissingColumns=True)
+
+
+#: Rows of a format that is written as one file, by the driver.
+ONE_FILE_ROWS = 1_000_000
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Write by suffix; CSV and TSV with header. Feather and Excel hold one table in one file, so the rows pass the driver."""
     kind = suffix(path)
@@ -182,6 +206,8 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.mode("errorifexists").json(path)
     elif kind in (".csv", ".tsv", ""):
         df.write.mode("errorifexists").csv(path, header=True, sep="\t" if kind == ".tsv" else ",", escape='"')
+    elif kind in (".feather", ".xlsx") and df.limit(ONE_FILE_ROWS + 1).count() > ONE_FILE_ROWS:
+        raise Unreadable(f"{path}: over {ONE_FILE_ROWS} rows don't go into one file; choose .parquet")
     elif kind == ".feather":
         from pyarrow import feather
 

@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalguard import cli
+from evalguard import api, cli
 from evalguard.operators import versions
 from evalguard.plans import engine, policy, report
 from evalguard.sources import discovery, images, tables
@@ -130,12 +131,103 @@ def test_discovery_and_command_line(spark, tmp_path, capsys):
     assert cli.run(["snapshot", str(tmp_path / "data"), "--out", str(tmp_path / "snap")]) == 0
     capsys.readouterr()
     assert cli.run(["diff", str(tmp_path / "snap"), str(tmp_path / "data")]) == 0 and capsys.readouterr().out.strip() == "[]"
+    text = (tmp_path / "out" / "report.md").read_text()
+    assert "What to do" in text and "largest:" in text and "entity p000" in text and "- answered:" in text
     assert cli.run(["split", str(tmp_path / "data"), "--out", str(tmp_path / "new"), "--group", "patient_id", "--dedupe", "--ratios", "80/20"]) == 0
     spec = discovery.open_dataset(spark, str(tmp_path / "new"))
     assert sorted(spec.splits) == ["test", "train"]
+    facts = json.loads((tmp_path / "new" / "split-manifest.json").read_text())
+    assert facts["class_counts"]["train"] and facts["entities"]["train"] and len(facts["files"]) >= 2 and all(len(f["sha256"]) == 64 for f in facts["files"]) and facts["ratio_deviation_entities"] is not None
+    assert "patient_id" in (tmp_path / "new" / "evalguard.yaml").read_text()
+    assert cli.run(["fingerprint", str(tmp_path / "data"), "--out", str(tmp_path / "manifest"), "--mode", "sampled", "--fraction", "0.0000001"]) == 0
+    records, header = versions.read_manifest(spark, str(tmp_path / "manifest"))
+    assert records.count() == 245 and records.where("hash_sampled").count() == 1 and header["mode"] == "sampled"  # never nothing
     with pytest.raises(policy.ConfigError):
         cli.run(["split", str(tmp_path / "data"), "--out", str(tmp_path / "new")])
-    assert cli.run(["show", str(tmp_path / "out" / "report.json"), "--form", "html"]) == 0 and cli.run(["rules"]) == 0
+    saved = str(tmp_path / "out" / "report.json")
+    assert cli.run(["report", saved, "--form", "html"]) == 0 and cli.run(["show", saved, "DD005"]) == 0 and cli.run(["show", saved]) == 0 and cli.run(["rules"]) == 0
+
+
+def test_split_of_csv_keeps_its_suffix_and_diff_tells_findings(spark, tmp_path, capsys):
+    cli.run(["demo", str(tmp_path / "data")])
+    assert cli.run(["split", str(tmp_path / "data" / "train.csv"), "--out", str(tmp_path / "new"), "--group", "patient_id", "--ratios", "50/50"]) == 0
+    assert (tmp_path / "new" / "train.csv").exists() and "patient_id" in (tmp_path / "new" / "evalguard.yaml").read_text()
+    (tmp_path / "fixed").mkdir()
+    (tmp_path / "fixed" / "evalguard.yaml").write_text((tmp_path / "data" / "evalguard.yaml").read_text())
+    (tmp_path / "fixed" / "train.csv").write_text((tmp_path / "data" / "train.csv").read_text())
+    (tmp_path / "fixed" / "test.csv").write_text("\n".join((tmp_path / "data" / "test.csv").read_text().splitlines()[:-5]) + "\n")
+    for name in ("data", "fixed"):
+        assert cli.run(["snapshot", str(tmp_path / name), "--out", str(tmp_path / f"{name}-snap"), "--audited"]) == 0
+    found = api.diff(spark, str(tmp_path / "data-snap"), str(tmp_path / "fixed-snap"))
+    assert {r["kind"]: r["n"] for r in found["counts"]} == {"removed": 5} and len(found["rows"]) == 5
+    assert {r[0] for r in found["findings"]["resolved"]} >= {"DD003", "DD005"} and found["verdicts"][0] == policy.INVALID
+
+
+def test_a_baseline_of_another_kind_is_a_finding(spark, tmp_path):
+    cli.run(["demo", str(tmp_path / "data")])
+    cli.run(["snapshot", str(tmp_path / "data"), "--out", str(tmp_path / "snap")])
+    header = next((tmp_path / "snap" / "header").glob("part-*.txt"))
+    header.write_text(header.read_text().replace("tabular", "image"))
+    crc = header.with_name(f".{header.name}.crc")
+    crc.unlink(missing_ok=True)
+    r = api.audit(spark, discovery.open_dataset(spark, str(tmp_path / "data"), api.config_for(str(tmp_path / "data"))), str(tmp_path / "snap"))
+    f = next(f for f in r.findings if f["rule_id"] == "DD018")
+    assert (f["status"], f["formal_impact"]) == ("INCONCLUSIVE", "NONE") and "dataset_type" in f["evidence"]["why"]
+
+
+def test_one_absent_group_column_hides_nothing(spark):
+    r = run(spark, rows(40, lambda i: f"p{i % 5}"), rows(20, lambda i: f"p{i % 5}", 1000), groups=("nosuch", "patient_id"))
+    f = next(f for f in r.findings if f["rule_id"] == "DD005")
+    assert (f["severity"], f["affected_count"], f["evidence"]["absent_columns"]) == ("CRITICAL", 60, ["nosuch"]) and len(f["evidence"]["largest"]) == 5
+    some = rows(40, lambda i: f"p{i}" if i % 2 else None)
+    r = run(spark, some, rows(20, lambda i: f"q{i}", 1000))
+    assert len([f for f in r.findings if f["rule_id"] == "DD005"]) == 2  # a row id, and missing in part
+
+
+def test_evidence_lists(spark):
+    train = [*rows(40, lambda i: f"p{i // 8}"), *rows(3, lambda i: "p9", 7) * 2]
+    r = run(spark, train, [*rows(20, lambda i: f"q{i // 4}", 1000), *train[:2]])
+    cross = next(f for f in r.findings if f["rule_id"] == "DD003" and f["target_split"])
+    assert len(cross["evidence"]["largest"]) == 2 and any(m.startswith("test:") for m in cross["evidence"]["largest"][0]["members"])
+    text = report.markdown(r)
+    assert "What to do" in text and "members" in text and report.page(r).count("<section") == sum(f["status"] != "PASS" for f in r.findings)
+
+
+def test_sampling_hides_no_row_from_the_rules(spark):
+    r = run(spark, rows(40, lambda i: f"p{i % 5}"), rows(20, lambda i: f"p{i % 5}", 1000), sampling={"enabled": True, "fraction": 0.01})
+    assert r.identity["num_samples"] == 60 and next(f for f in r.findings if f["rule_id"] == "DD005")["affected_count"] == 60
+
+
+def test_files_of_differing_types_and_broken_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,a\n")
+    (tmp_path / "b.csv").write_text('x,y\nq,"two\nlines"\n')
+    df, bad = tables.read_tables(spark, [f"file://{tmp_path}/{n}.csv" for n in "ab"])
+    assert not bad and sorted(tuple(r) for r in df.collect()) == [("1", "a"), ("q", "two\nlines")]
+    assert [tables.broken_lines(spark, f"file://{tmp_path}/{n}.csv") for n in "ab"] == [False, True]
+
+
+def test_images_are_split_by_the_entity_in_their_path(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / "in" / "ab"[i % 2]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "ab"[i % 2] / f"p{i // 4}_{i}.png").write_bytes(png(np.full((8, 8), i, np.uint8)))
+    config = policy.Config.of({"dataset": {"type": "image"}})
+    spec = discovery.open_dataset(spark, f"file://{tmp_path}/in", config)
+    with pytest.raises(policy.ConfigError):
+        api.split(spark, str(tmp_path / "in"), spec, str(tmp_path / "no"), {"train": 0.5, "test": 0.5}, entity_pattern=r"q(\d+)_")
+    api.split(spark, str(tmp_path / "in"), spec, str(tmp_path / "out"), {"train": 0.67, "test": 0.33}, entity_pattern=r"p(\d+)_")
+    owners = {s: {f.name.split("_")[0] for f in (tmp_path / "out" / s).rglob("*.png")} for s in ("train", "test")}
+    assert not owners["train"] & owners["test"] and len(list((tmp_path / "out").rglob("*.png"))) == 12
+
+
+def test_exit_codes_of_the_program(monkeypatch):
+    for error, code in ((KeyboardInterrupt(), 130), (RuntimeError("x"), 3), (policy.ConfigError("x"), 2)):
+        def fail(error=error):
+            raise error
+
+        monkeypatch.setattr(cli, "run", fail)
+        with pytest.raises(SystemExit) as stopped:
+            cli.main()
+        assert stopped.value.code == code
 
 
 def png(pixels):
@@ -203,8 +295,8 @@ def test_hash_cache_and_copies(spark, tmp_path):
     paths = spark.createDataFrame([("train/cat/p7_x.png",), ("x.png",)], "p string")
     got = paths.select(images.label_of_path(F.col("p")).alias("l"), images.entity_of_path(F.col("p"), r"p(\d+)_").alias("e")).collect()
     assert [tuple(r) for r in got] == [("cat", "7"), (None, None)]
-    assigned = spark.createDataFrame([(f"a/p{i}_x.png", "train" if i else "test") for i in range(3)], "relative_path string, split string")
-    assert images.copy_split(assigned, root, f"file://{tmp_path}/out") == 3 and (tmp_path / "out" / "train" / "a" / "p2_x.png").read_bytes() == b"\2" * 9
+    assigned = spark.createDataFrame([(f"a/p{i}_x.png", "train" if i else "test", f"{root}/a/p{i}_x.png") for i in range(3)], "relative_path string, split string, origin string")
+    assert images.copy_split(assigned, f"file://{tmp_path}/out") == 3 and (tmp_path / "out" / "train" / "a" / "p2_x.png").read_bytes() == b"\2" * 9
 
 
 def test_finding_changes():
