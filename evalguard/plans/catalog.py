@@ -402,21 +402,32 @@ def resplit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- the whole audit
 
 
-@query()
+@query(_ENTITIES + """, p as (select least(a.split, b.split) as x, greatest(a.split, b.split) as y, cast(sum(a.n + b.n) as bigint) as n from e a join e b on a.o_custkey = b.o_custkey and a.split < b.split group by all),
+u as (select split, count(*) as n, count(distinct o_totalprice) / count(*) as ratio from t group by 1),
+h as (select split, count(*) filter (regexp_full_match(cast(o_totalprice as varchar), '\\+?[0-9][0-9\\s().-]{7,14}')) as n, count(*) as rows from t group by 1)
+select 'DD001' as rule_id, 'INFO' as severity, 'PASS' as status, 'NONE' as formal_impact, count(*) as affected_count, null as source_split, null as target_split from t union all
+select 'DD005', case when x = 'test' and y = 'train' then 'CRITICAL' else 'HIGH' end, 'FAIL', 'BLOCKING', n, x, y from p union all
+select 'DD008', 'LOW', 'WARNING', 'POTENTIAL', n, split, null from u where split = (select min(split) from u where ratio >= 0.98) union all
+select 'DD020', 'LOW', 'WARNING', 'NONE', 0, null, null union all
+select 'DD021', 'MEDIUM', 'WARNING', 'NONE', n, split, null from h where split = (select min(split) from h where n / rows >= 0.05)""")
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole audit: all rules over the orders, with every finding's weight and scope."""
     from evalguard.plans.engine import AuditSpec, audit
 
     rows = orders(spark, sf_dir).drop("o_orderkey")
-    return audit(spark, AuditSpec.of(rows, "split", label="o_orderstatus", groups=["o_custkey"], temporal="o_orderdate")).findings_frame(spark)
+    found = audit(spark, AuditSpec.of(rows, "split", label="o_orderstatus", groups=["o_custkey"], temporal="o_orderdate")).findings_frame(spark)
+    return found.select("rule_id", "severity", "status", "formal_impact", "affected_count", "source_split", "target_split")
 
 
-@query()
+@query(f"""with t as ({LABELLED}), d as (select text, lang, source, quality from t group by all having count(distinct split) > 1),
+c as (select text, lang, source from t group by all having count(distinct coalesce(cast(quality as varchar), '<unlabeled>')) > 1 and (count(distinct split) > 1 or min(split) <> 'train'))
+select case when (select count(*) from d) + (select count(*) from c) > 0 then 'FORMAL_EVAL_INVALID' else 'another' end as verdict, (select count(*) from d) + (select count(*) from c) > 0 as blocked""")
 def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalguard.plans.engine import AuditSpec, audit
 
     docs = labelled(spark, sf_dir).select("text", "lang", "source", "quality", "split")
     report = audit(spark, AuditSpec.of(docs, "split", label="quality"))
-    return spark.createDataFrame([(report.verdict, len(report.findings), sum(f["formal_impact"] == "BLOCKING" for f in report.findings))], "verdict string, findings int, blocking int")
+    return spark.createDataFrame([(report.verdict, any(f["formal_impact"] == "BLOCKING" for f in report.findings))], "verdict string, blocked boolean")
 
 
 from evalguard.plans import more_queries as _more  # noqa: E402, F401  registers its queries here
