@@ -18,6 +18,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
 
 
@@ -53,6 +55,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make, name: str) -> DataFrame:
+    """Write what ``make()`` returns, then delete the tables that were written on the way: nothing reads them any more."""
+    at = len(_written)
+    out = materialise(make(), name)
+    own = _written.pop()
+    for session, path in _written[at:]:
+        drop_path(session, path)
+    _written[at:] = [own]
+    return out
+
+
 #: Rows and bytes of an Arrow batch: texts may be long, and both sides of the pipe hold whole batches. A longer row stands alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -107,13 +120,11 @@ def components(members: DataFrame, node: str, group: str, max_rounds: int = 60)
     only ever aggregated (map side first) or joined, and each label table is written before its
     join, so that skewed joins can be split. Empty input gives an empty table.
     """
+    spark = members.sparkSession
     m = materialise(members.select(F.col(node).alias("node"), F.col(group).alias("grp")).distinct(), "cc-members")
     lab = materialise(m.select("node", F.col("node").alias("comp")).distinct(), "cc-labels")
     for _ in range(max_rounds):
-        g = materialise(m.join(lab, "node").groupBy("grp").agg(F.min("comp").alias("gmin")), "cc-groups")
-        n = materialise(m.join(g, "grp").groupBy("node").agg(F.min("gmin").alias("comp")), "cc-nodes")
-        up = n.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = materialise(n.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "cc-labels")
+        new = settle(spark, lambda: _round(m, lab), "cc-labels")  # noqa: B023
         same = new.join(lab.withColumnRenamed("comp", "old"), "node").where("comp != old").isEmpty()
         lab = new
         if same:
@@ -121,6 +132,14 @@ def components(members: DataFrame, node: str, group: str, max_rounds: int = 60)
     raise RuntimeError("connected components did not converge")
 
 
+def _round(m: DataFrame, lab: DataFrame) -> DataFrame:
+    """Least labels over groups and back to nodes, then one jump along the pointers."""
+    g = materialise(m.join(lab, "node").groupBy("grp").agg(F.min("comp").alias("gmin")), "cc-groups")
+    n = materialise(m.join(g, "grp").groupBy("node").agg(F.min("gmin").alias("comp")), "cc-nodes")
+    up = n.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return n.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
+
+
 def letters(c: Column) -> Column:
     """True where the text holds a letter of any script."""
     return F.coalesce(c.rlike(r"\p{L}"), F.lit(False))

@@ -15,7 +15,8 @@ Documents are read once; a fixed-size bit map of the benchmark's hashes (``FILTE
 benchmark's size) drops windows that cannot hit before anything is shuffled. Hits meet the benchmark's windows in
 a join that is broadcast only if the benchmark's windows are few.
 
-Defined cases: null, empty and blank texts hold nothing; an item of fewer than ``WIDTH`` words is one
+Defined cases: null, empty and blank texts hold nothing; a very long text is searched whole; repeated rows are found once; of equal
+coverages the larger number of hits is reported; an empty table or benchmark gives an empty result; an item of fewer than ``WIDTH`` words is one
 window of all its words if it has at least ``MIN_WORDS``, else it is not sought; a template of fewer than ``MIN_WORDS`` tokens meets
 only windows of as many words as the item's own; a repeated item is found under
 each of its ids, and items without id are not sought; repeated and null document ids are told apart by their text; extra columns are ignored.
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import textvec
-from evalguard.llm.common import in_arrow, materialise, small
+from evalguard.llm.common import in_arrow, materialise, settle, small
 
 WIDTH, MIN_WORDS, COVERAGE = 8, 5, 0.5
 #: So many words of an item in a row are a hit, whatever their share of a long item.
 RUN_WORDS = 20
+#: Words that a template window must hold besides its placeholders: a window of placeholders alone would meet every table of numbers.
+LITERAL = 2
 FILTER_BITS = 24
 #: Words that are units right after a number.
 UNITS = (
@@ -113,16 +116,19 @@ def tokens(w: textvec.Words, t: np.ndarray, slot: np.ndarray) -> Tokens:
 
 
 def _slotted(k: Tokens, size: int) -> np.ndarray:
-    """First tokens of the windows that lie in one row and hold a slot; others are their own plain form."""
+    """First tokens of the windows that lie in one row, hold a slot, and ``LITERAL`` words or more; those without a slot are their own plain form."""
     i = np.flatnonzero(k.row[: max(len(k.row) - size + 1, 0)] == k.row[size - 1 :])
     total = np.concatenate([[0], np.cumsum(k.slot)])
-    return i[total[i + size] > total[i]]
+    slots = total[i + size] - total[i]
+    return i[(slots > 0) & (slots <= size - min(LITERAL, size - 1))]
 
 
-def _slot_values(k: Tokens, first: int, size: int) -> list[int]:
-    """Values behind the window's placeholders."""
-    span = slice(first, first + size)
-    return k.value[span][k.slot[span]].tolist()
+def _slot_values(k: Tokens, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values behind the windows' placeholders, window after window, and how many each window has."""
+    total = np.concatenate([[0], np.cumsum(k.slot)])
+    n = total[first + size] - total[first]
+    where = np.repeat(total[first] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return k.value[np.flatnonzero(k.slot)][where], n
 
 
 WINDOW_SCHEMA = "item_id long, window long, pos int, last int, n_windows int, slots array<long>, slot_at array<int>, plain boolean, width int, need int"
@@ -144,7 +150,10 @@ def _windows_of(text: pa.Array, width: int) -> list[tuple]:
     few = min(width, len(k.hash))
     h = textvec.windows(k.hash, few).view(np.int64)
     need = few if few >= min(MIN_WORDS, width) else size
-    return out + [(int(h[i]), int(k.start[i]), int(k.end[i + few - 1]) - size, count, _slot_values(k, i, few), k.start[i : i + few][k.slot[i : i + few]].tolist(), False, few, need) for i in _slotted(k, few).tolist()]
+    at = _slotted(k, few)
+    values, sizes = _slot_values(k, at, few)
+    lists = np.split(values, np.cumsum(sizes)[:-1]) if len(at) else []
+    return out + [(int(h[i]), int(k.start[i]), int(k.end[i + few - 1]) - size, count, v.tolist(), k.start[i : i + few][k.slot[i : i + few]].tolist(), False, few, need) for i, v in zip(at.tolist(), lists, strict=True)]
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -191,8 +200,7 @@ def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS)
             return (found[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
 
         for batch in batches:
-            ids, hashes = batch.column(0), batch.column(1)
-            rows: list[dict] = []
+            row, window, place, words, sizes, slots = ([] for _ in range(6))
             for at, part in textvec.slices(textvec.strings(batch.column(2))):
                 w, t, slot = template(part)
                 k = tokens(w, t, slot)
@@ -204,13 +212,15 @@ def document_hits(docs: DataFrame, windows: DataFrame, bits: int = FILTER_BITS)
                     else:
                         i = _slotted(k, size)
                         start, end = k.start[i], k.end[i + size - 1]
-                    for x in np.flatnonzero(known(h[i]) & (end - start >= need)).tolist():
-                        r = int(w.row[start[x]])
-                        rows.append({
-                            "doc_id": ids[at + r].as_py(), "th": hashes[at + r].as_py(), "window": int(h[i[x]].view(np.int64)), "at": int(start[x] - w.bounds[r]), "words": int(end[x] - start[x]),
-                            "doc_slots": [] if plain else _slot_values(k, int(i[x]), size),
-                        })
-            yield pa.RecordBatch.from_pylist(rows, schema=_HIT_ARROW)
+                    x = np.flatnonzero(known(h[i]) & (end - start >= need))
+                    r = w.row[start[x]]
+                    values, n = (np.zeros(0, np.int64), np.zeros(len(x), np.int64)) if plain else _slot_values(k, i[x], size)
+                    for store, y in zip((row, window, place, words, sizes, slots), (at + r, h[i[x]].view(np.int64), start[x] - w.bounds[r], end[x] - start[x], n, values), strict=True):
+                        store.append(y)
+            cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            take = pa.array(cat(row), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(sizes))]), pa.int32()), pa.array(cat(slots), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cat(window), pa.int64()), pa.array(cat(place), pa.int32()), pa.array(cat(words), pa.int32()), lists], schema=_HIT_ARROW)
 
     text = F.col("text").cast("string")
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -299,6 +309,6 @@ def marked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item; all columns stay."""
-    bad = small(materialise(marked(docs, benchmark, **options).select("doc_id", "th"), "bench-docs"))
+    bad = small(settle(docs.sparkSession, lambda: marked(docs, benchmark, **options).select("doc_id", "th"), "bench-docs"))
     same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["th"])
     return docs.join(bad, same, "left_anti")

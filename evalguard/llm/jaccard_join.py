@@ -12,7 +12,8 @@
 The number of bands and rows follows from the wished recall at the threshold (``choose_bands``).
 
 Defined cases: a null, empty or blank text has no shingles and no links; a text of one to four words
-has one shingle of all its words, a text without words one of its characters; rows are told apart by
+has one shingle of all its words, a text without words one of its characters; a very long text is compared whole; pairs at
+exactly the threshold are links; rows are told apart by
 (doc_id, text), so null and repeated ids keep their rows; the class id is the least doc_id of the class;
 an empty table gives an empty result; extra columns are ignored (``keep_one`` returns them).
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import textvec
-from evalguard.llm.common import components, in_arrow, materialise, small
+from evalguard.llm.common import components, in_arrow, materialise, settle, small
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MAX_HASHES = 128
@@ -203,7 +204,7 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, r
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without all but the first row (least doc_id, null last) of each class; all columns stay."""
-    found = materialise(classes(docs, **options), "jaccard-classes")
+    found = settle(docs.sparkSession, lambda: classes(docs, **options), "jaccard-classes")
     rows = found.where("class_node is not null").groupBy("class_node", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = materialise(rows, "jaccard-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")

@@ -13,7 +13,7 @@ Prefix sums run in two levels (source, epoch and hash slice; then inside a slice
 third of all rows is spread over ``SLICES`` groups. No table of sources or offsets is broadcast.
 
 Defined cases: a null source is a source of its own; null, empty and blank texts have 0 tokens and ride along
-in the first epoch; repeated rows are told apart by content and stay; an empty table gives an empty result; extra columns are ignored.
+in the first epoch; a very long text counts with all its tokens, and crosses the budget's line whole; rows of equal hash follow by id and content; repeated rows are told apart by content and stay; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalguard.llm.mixing import ORACLE_SQL as MIXING_SQL
+from evalguard.llm.sharding import ORACLE_SQL as SHARDING_SQL
+
+#: Counts of base spans of personal data; cards need Luhn's sum, which the tests check.
+PII_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+m as (select doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as e, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as i, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]') as p from t)
+select doc_id, cast(len(e) as bigint) as n_email, cast(len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: cast(y as double))) <= 255)) as bigint) as n_ip,
+cast(len(list_filter(p, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) between 9 and 15)) as bigint) as n_phone from m"""
 
 #: Vocabulary file of the public byte-level tokenizer.
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,6 +100,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def placement_of_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's shards, without the columns that SQL cannot compute; slots are checked for gaps by tests."""
+    return op2_hash_tree_sharding(spark, sf_dir).select("doc_id", "size", "shard", "rack", "region", "law", "grown_shard")
+
+
+def base_spans_of_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's counts of base spans."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_hash_tree_sharding": op2_hash_tree_sharding,
@@ -103,5 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "placement_of_shards": placement_of_shards,
+    "base_spans_of_pii": base_spans_of_pii,
 }
-ORACLES: dict[str, str] = {"op5_temperature_mixing": MIXING_SQL}
+#: op2's text_crc32 and slot are beyond DuckDB (it has no CRC), so its SQL checks placement through a query of its own; so with op7's cards.
+ORACLES: dict[str, str] = {"op5_temperature_mixing": MIXING_SQL, "placement_of_shards": SHARDING_SQL, "base_spans_of_pii": PII_SQL}

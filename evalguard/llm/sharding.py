@@ -13,8 +13,9 @@ shard and hash bucket (``SLOT_BUCKETS`` a shard, so the table of offsets has a f
 window within each bucket.
 
 Law ``key``: document id and shard count decide alone. Defined cases: a null id is an id of its own;
-a null text has size 8 and the CRC of the empty string; rows with equal ids share a shard and get
-slots by their content; an empty table gives an empty result; extra columns are ignored.
+a null text has size 8 and the CRC of the empty string; a very long text counts with all its bytes; of equal draws the smaller
+name wins; rows with equal ids share a shard and get slots by their content, repeated rows in any order; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shar
         placed = descend(placed, F.filter("draws", lambda d: d["shard"].isin([s.id for s in grown])), "grown_")
     else:
         placed = placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    bucket = F.pmod(F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(F.col("doc_id").isNull(), F.col("text_crc32").cast("string"))).cast("binary")), F.lit(buckets)).cast("int")
+    # the content takes part, so that rows of one id fill many buckets; buckets ascend by their number in the slots
+    bucket = F.pmod(F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32").cast("string")).cast("binary")), F.lit(buckets)).cast("int")
     narrow = materialise(placed.select("doc_id", "size", "text_crc32", "region", "rack", "shard", "grown_shard", bucket.alias("bucket")), "shards")
     counts = narrow.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -99,3 +101,20 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shar
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"), "grown_shard"
     )
 
+
+
+def _oracle(shards: int = 24, grown: int = 25) -> str:
+    """The same in DuckDB's SQL: every leaf's draw, then the least one, level by level (a subtree's draw is the least of its leaves')."""
+    tree = topology(grown)
+    leaves = ", ".join(f"({s.id}, {s.region}, {s.rack})" for s in tree)
+    return f"""
+with leaves as (select * from (values {leaves}) v(shard, region, rack)),
+docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+ids as (select distinct doc_id from docs),
+draws as (select doc_id, shard, -ln((cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || region || ':' || rack || ':' || shard), 1, {_HEX}) as bigint) + 0.5) / {float(16**_HEX)}) as draw from ids, leaves),
+best as (select doc_id, arg_min(shard, draw) filter (shard < {shards}) as shard, arg_min(shard, draw) as grown_shard from draws group by doc_id)
+select d.doc_id, strlen(d.text) + 8 as size, b.shard, b.shard // {RACK_SHARDS} as rack, b.shard // {RACK_SHARDS * REGION_RACKS} as region, 'key' as law, b.grown_shard
+from docs d join best b on d.doc_id is not distinct from b.doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -8,23 +8,26 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else
 3. Anchors with several different pieces go through ``ColumnOrder``: the pieces, aligned at their anchors, are the documents of a
    collection. Each round inserts one symbol of every document, from the last column to the first, and updates the order of
    their suffixes, the collection's Burrows-Wheeler column and the common prefixes of neighbours. Columns are read
-   from one sequential file and Burrows-Wheeler columns and prefixes appended to others, so memory holds one column. A string repeats
-   if it shares ``LENGTH`` symbols with a neighbour.
+   one after the other from a sequential buffer of the bucket, and only the last Burrows-Wheeler column and prefixes are kept: a round needs no
+   other. A string repeats if it shares ``LENGTH`` symbols with a neighbour.
    The columns of all pieces of an anchor agree in place, so suffixes only have to be compared within a
    round. That is why a round costs one symbol a document, where an unaligned collection has to merge into all suffixes so far.
-4. Anchors with more than ``HOT_PIECES`` different pieces (boilerplate shorter than a string, in very many
-   contexts) would fill one task; their strings are counted one by one by two 64-bit hashes instead, spread over all tasks.
+4. Anchors with more than ``HOT_PIECES`` different pieces (boilerplate shorter than a string, in very many contexts) would fill
+   one task. Their pieces are halved by the strings' places, each half gets the bytes that its strings have in common as a longer
+   anchor, equal halves collapse, and the rest goes through ``ColumnOrder`` as before, or is halved again.
 
 Rows are known by (doc_id, hash of the text); rows that agree in both get the same result. Texts cross the network only for pieces
 of step 3 and, where the spans are too many to broadcast, for the last join.
 
-Defined cases: null texts are empty; texts shorter than ``LENGTH`` bytes keep everything; repeated rows and null ids
+Defined cases: null texts are empty; texts shorter than ``LENGTH`` bytes keep everything; a very long text is searched whole; repeated rows and null ids
 count as occurrences of their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import io
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,27 +36,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalguard.llm import anchors, textvec
-from evalguard.llm.common import BROADCAST_ROWS, in_arrow, materialise, small
+from evalguard.llm.common import BROADCAST_ROWS, in_arrow, materialise, settle, small
 
 LENGTH = 200
 #: Rows of a batch that a worker handles at once.
 ROWS_AT_ONCE = 1000
-BUCKET_PIECES, HOT_PIECES = 4096, 50_000
+BUCKET_PIECES, HOT_PIECES = 4096, 8192
 BROADCAST_SPANS = 2_000_000
 
 
 class ColumnOrder:
     """Order of the suffixes of aligned documents, one column at a time from the last to the first.
 
-    ``columns`` is a file of one row of 16-bit symbols a column, last column first; 0 stands where a document has no
-    symbol. After each round ``order`` has the documents by their suffixes and ``common`` the common prefix of each with the one before.
+    ``columns`` is a sequential reader of one row of 16-bit symbols a column, last column first; 0 stands where a document has no
+    symbol. After each round ``order`` has the documents by their suffixes, ``bwt`` the collection's Burrows-Wheeler column and ``common``
+    the common prefix of each with the one before.
     """
 
     def __init__(self, columns, n_docs: int, limit: int) -> None:
         self.columns, self.n, self.limit = columns, n_docs, limit
         self.order = np.arange(n_docs)
         self.common = np.zeros(n_docs, np.uint16)
-        self.bwt, self.prefixes = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.bwt = np.zeros(n_docs, np.uint16)
 
     def _least_between(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """min(common[low + 1 .. high]) for each pair, by doubling."""
@@ -74,8 +78,7 @@ class ColumnOrder:
         raw = self.columns.read(2 * self.n)
         if not raw:
             return False
-        symbol = np.frombuffer(raw, np.uint16)[self.order]  # the collection's Burrows-Wheeler column
-        self.bwt.write(symbol.tobytes())
+        self.bwt = symbol = np.frombuffer(raw, np.uint16)[self.order]
         to = np.argsort(symbol, kind="stable")
         symbol = symbol[to]
         same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != 0)) + 1
@@ -83,13 +86,8 @@ class ColumnOrder:
         if len(same):
             common[same] = np.minimum(self._least_between(to[same - 1], to[same]) + np.uint16(1), np.uint16(self.limit))
         self.order, self.common = self.order[to], common
-        self.prefixes.write(common.tobytes())
         return True
 
-    def close(self) -> None:
-        self.bwt.close()
-        self.prefixes.close()
-
 
 def repeated_strings(pieces: list[bytes], before: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each piece, which of its strings start in another piece at the same place of the anchor too.
@@ -104,19 +102,15 @@ def repeated_strings(pieces: list[bytes], before: np.ndarray, first: np.ndarray,
         at = left - int(before[i])
         matrix[i, at : at + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 1
     found = np.zeros((n, width), bool)
-    with tempfile.TemporaryFile() as columns:
-        for c in range(width - 1, -1, -1):
-            columns.write(np.ascontiguousarray(matrix[:, c]).tobytes())
-        columns.seek(0)
-        del matrix
-        order = ColumnOrder(columns, n, length)
-        c = width - 1
-        while order.insert():
-            hit = order.common >= length
-            hit[:-1] |= hit[1:]
-            found[order.order[hit], c] = True
-            c -= 1
-        order.close()
+    columns = io.BytesIO(np.ascontiguousarray(matrix[:, ::-1].T).tobytes())
+    del matrix
+    order = ColumnOrder(columns, n, length)
+    c = width - 1
+    while order.insert():
+        hit = order.common >= length
+        hit[:-1] |= hit[1:]
+        found[order.order[hit], c] = True
+        c -= 1
     return [found[i, left - int(before[i]) : left - int(before[i]) + int(last[i] - first[i]) + 1] for i in range(n)]
 
 
@@ -198,27 +192,58 @@ def compare_pieces(fetched: DataFrame, buckets: int, length: int = LENGTH) -> Da
     return fetched.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, "doc_id long, th long, s int, e int")
 
 
-def count_strings(fetched: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same for hot anchors: every string by two hashes, counted over all tasks."""
+def refine(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Each piece in two halves, (doc_id, th, h, at, first, last, bytes, low, high, piece): strings by their places before the anchor, low to high.
+
+    All strings of a half have the bytes from ``high`` to ``low + length`` in common place, so equal ones agree there: a hash of them is
+    the half's anchor from now on. A half of one place holds whole strings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            row, start, one, two = [], [], [], []
-            for i, (b, first) in enumerate(zip(batch.column(6).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                data = np.frombuffer(b, np.uint8)
-                n = len(data) - length + 1
-                begin = np.arange(n)
-                row.append(np.full(n, i))
-                start.append(begin + first)
-                one.append(anchors.Text(data).pieces(begin, begin + length).view(np.int64))
-                two.append(anchors.Text(data ^ np.uint8(0x5A)).pieces(begin, begin + length).view(np.int64))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            take = pa.array(cat(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cat(start), pa.int32()), pa.array(cat(one), pa.int64()), pa.array(cat(two), pa.int64())], ["doc_id", "th", "s", "one", "two"])
-
-    strings = materialise(in_arrow(fetched, run, "doc_id long, th long, s int, one long, two long"), "dedup-strings")
-    often = materialise(strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two"), "dedup-often")
-    return strings.join(often, ["one", "two"]).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+            out: list[tuple] = []
+            for i, (h, at, first, last, data, low, high) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    begin, end = max(first, at + a), min(last, at + b)
+                    if a > b or begin > end:
+                        continue
+                    common = data[at + b - first : at + a + length - first]
+                    part = data[begin - first : end + length - first]
+                    key = hashlib.blake2b(common, digest_size=8, key=struct.pack("<qi", h, a)).digest()
+                    own = hashlib.blake2b(part, digest_size=8, key=struct.pack("<i", begin - at)).digest()
+                    out.append((i, *struct.unpack("<q", key), at, begin, end, part, a, b, *struct.unpack("<q", own)))
+            row, *rest = zip(*out, strict=True) if out else [()] * 9
+            take = pa.array(row, pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], ["doc_id", "th", "h", "at", "first", "last", "bytes", "low", "high", "piece"])
+
+    return in_arrow(pieces.select("doc_id", "th", "h", "at", "first", "last", "bytes", "low", "high"), run, "doc_id long, th long, h long, at int, first int, last int, bytes binary, low int, high int, piece long")
+
+
+def compare_hot(pieces: DataFrame, length: int, bucket_pieces: int, hot_pieces: int) -> list[DataFrame]:
+    """Spans (doc_id, th, s, e) of the pieces of anchors with more than ``hot_pieces`` different ones.
+
+    Pieces are halved, and equal halves collapse, until no anchor has more; after eight halvings a piece is one string and all
+    pieces of an anchor are equal.
+    """
+    out, end = [], (F.col("last") + length).alias("e")
+    left = pieces.withColumn("low", F.lit(anchors.GRAM - length)).withColumn("high", F.lit(0))
+    while True:
+        halves = materialise(refine(left, length), "dedup-halves")
+        counted = halves.groupBy("h", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at", "first", "last", "bytes", "low", "high")).alias("r"))
+        counted = materialise(counted.select("h", "piece", "n", "r.*"), "dedup-counted")
+        several = counted.where("n > 1").select("h", "piece")
+        out.append(halves.join(several.hint("merge"), ["h", "piece"]).select("doc_id", "th", F.col("first").alias("s"), end))
+        sizes = materialise(counted.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "dedup-sizes")
+        hot = sizes.where(F.col("k") > hot_pieces).select("h")
+        n = sizes.where(F.col("k") <= hot_pieces).agg(F.sum("k")).first()[0] or 0
+        if n:
+            cool = counted.join(sizes.where(F.col("k") <= hot_pieces).select("h"), "h", "left_semi")
+            out.append(compare_pieces(cool, max(1, -(-n // bucket_pieces)), length))
+        if hot.isEmpty():
+            return out
+        left = materialise(counted.join(hot, "h", "left_semi"), "dedup-left")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_pieces: int = BUCKET_PIECES, hot_pieces: int = HOT_PIECES) -> DataFrame:
@@ -237,10 +262,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_pieces: int = B
     wanted = pieces.select("r.doc_id", "r.th", F.struct("h", "r.at", "r.first", "r.last").alias("run"))
     fetched = materialise(_fetch(docs, materialise(wanted.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs")), "dedup-wanted")), "dedup-fetched")
     buckets = max(1, -(-pieces.count() // bucket_pieces))
-    if hot.isEmpty():
-        spans = spans.union(compare_pieces(fetched, buckets, length))
-    else:
-        spans = spans.union(compare_pieces(fetched.join(hot, "h", "left_anti"), buckets, length)).union(count_strings(fetched.join(hot, "h", "left_semi").select(*fetched.columns), length))
+    spans = spans.union(compare_pieces(fetched.join(hot, "h", "left_anti"), buckets, length))
+    if not hot.isEmpty():
+        for part in compare_hot(fetched.join(hot, "h", "left_semi"), length, bucket_pieces, hot_pieces):
+            spans = spans.union(part)
     return _merge(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
 
 
@@ -269,7 +294,7 @@ def _merge(spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """(doc_id, th, n_bytes, n_removed, n_spans, kept, spans) of each row; ``kept`` is the remaining bytes."""
-    spans = materialise(repeated_spans(docs, length, **options), "dedup-spans")
+    spans = settle(docs.sparkSession, lambda: repeated_spans(docs, length, **options), "dedup-spans")
     d = _keyed(docs)
     total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     side = small(spans, BROADCAST_ROWS) if total <= BROADCAST_SPANS else spans
