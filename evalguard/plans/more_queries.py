@@ -15,7 +15,10 @@ from evalguard.plans.catalog import _RATIOS, LABELLED, LINES, ORDERS, labelled,
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; one of our own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

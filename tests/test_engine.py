@@ -207,16 +207,16 @@ def test_files_of_differing_types_and_broken_lines(spark, tmp_path):
 
 
 def test_images_are_split_by_the_entity_in_their_path(spark, tmp_path):
-    for i in range(12):
+    for i in range(24):
         (tmp_path / "in" / "ab"[i % 2]).mkdir(parents=True, exist_ok=True)
-        (tmp_path / "in" / "ab"[i % 2] / f"p{i // 4}_{i}.png").write_bytes(png(np.full((8, 8), i, np.uint8)))
+        (tmp_path / "in" / "ab"[i % 2] / f"p{i // 2}_{i}.png").write_bytes(png(np.full((8, 8), i, np.uint8)))
     config = policy.Config.of({"dataset": {"type": "image"}})
     spec = discovery.open_dataset(spark, f"file://{tmp_path}/in", config)
     with pytest.raises(policy.ConfigError):
         api.split(spark, str(tmp_path / "in"), spec, str(tmp_path / "no"), {"train": 0.5, "test": 0.5}, entity_pattern=r"q(\d+)_")
-    api.split(spark, str(tmp_path / "in"), spec, str(tmp_path / "out"), {"train": 0.67, "test": 0.33}, entity_pattern=r"p(\d+)_")
+    api.split(spark, str(tmp_path / "in"), spec, str(tmp_path / "out"), {"train": 0.5, "test": 0.5}, entity_pattern=r"p(\d+)_")
     owners = {s: {f.name.split("_")[0] for f in (tmp_path / "out" / s).rglob("*.png")} for s in ("train", "test")}
-    assert not owners["train"] & owners["test"] and len(list((tmp_path / "out").rglob("*.png"))) == 12
+    assert not owners["train"] & owners["test"] and len(list((tmp_path / "out").rglob("*.png"))) == 24
 
 
 def test_exit_codes_of_the_program(monkeypatch):
