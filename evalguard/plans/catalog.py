@@ -421,13 +421,15 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with t as ({LABELLED}), d as (select text, lang, source, quality from t group by all having count(distinct split) > 1),
 c as (select text, lang, source from t group by all having count(distinct coalesce(cast(quality as varchar), '<unlabeled>')) > 1 and (count(distinct split) > 1 or min(split) <> 'train'))
-select case when (select count(*) from d) + (select count(*) from c) > 0 then 'FORMAL_EVAL_INVALID' else 'another' end as verdict, (select count(*) from d) + (select count(*) from c) > 0 as blocked""")
+select (select count(*) from d) + (select count(*) from c) > 0 as invalid, (select count(*) from d) + (select count(*) from c) > 0 as blocked""")
 def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the documents' splits make an evaluation invalid, and whether a finding blocks it."""
+    from evalguard.plans import policy
     from evalguard.plans.engine import AuditSpec, audit
 
     docs = labelled(spark, sf_dir).select("text", "lang", "source", "quality", "split")
     report = audit(spark, AuditSpec.of(docs, "split", label="quality"))
-    return spark.createDataFrame([(report.verdict, any(f["formal_impact"] == "BLOCKING" for f in report.findings))], "verdict string, blocked boolean")
+    return spark.createDataFrame([(report.verdict == policy.INVALID, any(f["formal_impact"] == "BLOCKING" for f in report.findings))], "invalid boolean, blocked boolean")
 
 
 from evalguard.plans import more_queries as _more  # noqa: E402, F401  registers its queries here

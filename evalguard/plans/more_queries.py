@@ -130,12 +130,12 @@ def id_like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, leakage.looks_like_id(n)) for n in names], "name string, looks_like_id boolean")
 
 
-@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else cast(o_orderdate as date) end as day from orders")
+@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else cast(cast(o_orderdate as date) as varchar) end as day from orders")
 def datetime_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in four ways, and one that is none."""
     day, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 5
     text = F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy/MM/dd")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).when(k == 3, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
-    return table(spark, sf_dir, "orders").withColumn("t", text).select("o_orderkey", canon.moment(F.col("t")).cast("date").alias("day"))
+    return table(spark, sf_dir, "orders").withColumn("t", text).select("o_orderkey", canon.moment(F.col("t")).cast("date").cast("string").alias("day"))
 
 
 # ---- evidence
@@ -317,9 +317,9 @@ def _audits(spark: SparkSession) -> dict[str, engine.Report]:
     return out
 
 
-@query("""select * from (values ('clean', 'FORMAL_EVAL_SAFE', 0, null, null, null, null, null), ('conflicts', 'FORMAL_EVAL_INVALID', 1, 'DD005', 'CRITICAL', 'FAIL', 'BLOCKING', 12),
+@query("""select * from (values ('clean', 'FORMAL_EVAL_SAFE', 0, 'none', '', '', '', 0), ('conflicts', 'FORMAL_EVAL_INVALID', 1, 'DD005', 'CRITICAL', 'FAIL', 'BLOCKING', 12),
 ('conflicts', 'FORMAL_EVAL_INVALID', 1, 'DD009', 'CRITICAL', 'FAIL', 'BLOCKING', 8), ('copies', 'FORMAL_EVAL_INVALID', 1, 'DD003', 'CRITICAL', 'FAIL', 'BLOCKING', 6),
-('copies', 'FORMAL_EVAL_INVALID', 1, 'DD005', 'CRITICAL', 'FAIL', 'BLOCKING', 11), ('one_split', 'INCONCLUSIVE', 0, null, null, null, null, null),
+('copies', 'FORMAL_EVAL_INVALID', 1, 'DD005', 'CRITICAL', 'FAIL', 'BLOCKING', 11), ('one_split', 'INCONCLUSIVE', 0, 'none', '', '', '', 0),
 ('shared_entities', 'FORMAL_EVAL_INVALID', 1, 'DD005', 'CRITICAL', 'FAIL', 'BLOCKING', 60), ('target_leak', 'FORMAL_EVAL_INVALID', 1, 'DD007', 'CRITICAL', 'FAIL', 'BLOCKING', 80))
 v(fixture, verdict, exit_code, rule_id, severity, status, formal_impact, affected_count)""")
 def fixture_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +327,7 @@ def fixture_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for name, r in _audits(spark).items():
         critical = [(f["rule_id"], f["severity"], f["status"], f["formal_impact"], f["affected_count"]) for f in r.findings if f["severity"] == "CRITICAL"]
-        rows += [(name, r.verdict, policy.exit_code(r.verdict, r.findings, r.outcomes), *c) for c in critical or [(None,) * 5]]
+        rows += [(name, r.verdict, policy.exit_code(r.verdict, r.findings, r.outcomes), *c) for c in critical or [("none", "", "", "", 0)]]
     return spark.createDataFrame(rows, "fixture string, verdict string, exit_code int, rule_id string, severity string, status string, formal_impact string, affected_count int")
 
 
