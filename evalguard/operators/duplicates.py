@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalguard.functions import metrics
 from evalguard.operators.frames import pairs_of
 
+#: Rows of a block where hashes are compared block by block, and the most blocks: beyond, blocks grow and no row is copied more often.
+BLOCK, MOST_BLOCKS = 8192, 64
+#: Hashes of both sides that are compared at once; the distances stay in the processor's cache.
+TILE_ROWS, TILE = 16, 8192
+
 
 def digest_groups(df: DataFrame, digest: str, split: str) -> DataFrame:
     """(digest, n, splits): contents that occur more than once; members are never listed."""
@@ -67,6 +76,70 @@ def near_hashes(df: DataFrame, hash_: str, threshold: int = 6) -> DataFrame:
     return joined.where((F.bit_count(xor) <= threshold) & (F.forall(F.array(*earlier), lambda x: x) if earlier else F.lit(True))).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"), metrics.hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
 
 
+def close(a: np.ndarray, b: np.ndarray, threshold: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of all a[i], b[j] at distances from 1 to the threshold, tile by tile; ``within`` one block (a is b) only i < j."""
+    a, b = a.view(np.uint64), b.view(np.uint64)  # the bits of an int64 are counted without its sign
+    for s in range(0, len(a), TILE_ROWS):
+        for q in range(s if within else 0, len(b), TILE):
+            d = np.bitwise_count(a[s : s + TILE_ROWS, None] ^ b[None, q : q + TILE])
+            width, d = d.shape[1], d.ravel()
+            near = d <= threshold
+            if near.size % 8:
+                hit = np.flatnonzero(near)
+            else:  # most are far: eight at a time
+                some = (np.flatnonzero(near.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+                hit = some[near[some]]
+            i, j, d = s + hit // width, q + hit % width, d[hit]
+            keep = (d > 0) & (i < j) if within else d > 0
+            if keep.any():
+                yield i[keep], j[keep], d[keep]
+
+
+def between_blocks(df: DataFrame, hash_: str, run, schema: str) -> DataFrame:
+    """``run(a, b, within)`` for each two blocks of rows, and for each block with itself: every two rows meet in exactly one task, which holds two blocks."""
+    n = max(1, min(MOST_BLOCKS, -(-df.count() // BLOCK)))
+    own, other = F.col("__own"), F.col("__other")
+    spread = df.withColumn("__own", F.pmod(F.xxhash64(hash_), F.lit(n)).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    dealt = spread.select(*df.columns, side.cast("byte").alias("__side"), F.least(own, other).alias("__lo"), F.greatest(own, other).alias("__hi")).repartition(n * (n + 1) // 2, "__lo", "__hi")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        side = rows["__side"].to_numpy()
+        within = bool(side[0] == 2)
+        yield from run(rows if within else rows.filter(pa.array(side == 0)), rows if within else rows.filter(pa.array(side == 1)), within)
+
+    return dealt.groupBy("__lo", "__hi").applyInArrow(task, schema)
+
+
+def near_histogram(df: DataFrame, hash_: str, split: str, threshold: int = 6) -> DataFrame:
+    """(x, y, distance, n): pairs of rows of different hashes within the threshold by their splits, x <= y, and distance.
+
+    Exact: rows of one hash and split collapse to a size first, all sizes are compared in blocks, and only counts leave a task.
+    """
+    sizes = df.where(F.col(hash_).isNotNull()).groupBy(F.col(hash_).alias("h"), F.col(split).alias("split")).agg(F.count("*").alias("n"))
+
+    def run(a: pa.Table, b: pa.Table, within: bool) -> Iterator[pa.RecordBatch]:
+        sa, sb = a["split"].to_pylist(), b["split"].to_pylist()
+        names = sorted({*sa, *sb})
+        at = {x: i for i, x in enumerate(names)}
+        sa, sb = np.array([at[x] for x in sa], np.int64), np.array([at[x] for x in sb], np.int64)
+        na, nb = a["n"].to_numpy(), b["n"].to_numpy()
+        counts = np.zeros((len(names), len(names), threshold + 1), np.int64)
+        for i, j, d in close(a["h"].to_numpy(), b["h"].to_numpy(), threshold, within):
+            np.add.at(counts, (np.minimum(sa[i], sb[j]), np.maximum(sa[i], sb[j]), d), na[i] * nb[j])
+        x, y, d = np.nonzero(counts)
+        yield pa.record_batch({"x": pa.array([names[k] for k in x], pa.string()), "y": pa.array([names[k] for k in y], pa.string()), "distance": pa.array(d, pa.int32()), "n": pa.array(counts[x, y, d], pa.int64())})
+
+    return between_blocks(sizes, "h", run, "x string, y string, distance int, n long").groupBy("x", "y", "distance").agg(F.sum("n").alias("n"))
+
+
+def closest_distances(histogram: DataFrame, k: int = 20) -> DataFrame:
+    """(x, y, distance, n): the distances of the k closest pairs of each two splits, from (x, y, distance, n) of all."""
+    before = F.sum("n").over(Window.partitionBy("x", "y").orderBy("distance")) - F.col("n")  # a row a distance
+    return histogram.withColumn("before", before).where(F.col("before") < k).select("x", "y", "distance", F.least(F.col("n"), k - F.col("before")).alias("n"))
+
+
 def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> DataFrame:
     """(a, b, distance): all pairs of rows of different hashes within the threshold, a < b; members come back by a join on the hash.
 

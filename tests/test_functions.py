@@ -79,6 +79,25 @@ def test_near_pairs_equal_brute_force(spark, threshold):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("threshold", [0, 6, 16, 64])
+def test_near_histogram_equals_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(duplicates, "BLOCK", 9)
+    monkeypatch.setattr(duplicates, "TILE", 5)
+    monkeypatch.setattr(duplicates, "TILE_ROWS", 4)
+    rng = np.random.default_rng(threshold)
+    base = rng.integers(-(1 << 63), 1 << 63, 8, dtype=np.int64).tolist()
+    hashes = base + [h ^ int(1 << int(b)) for h in base for b in rng.integers(0, 63, 3)] + base + [base[0]] * 5 + [base[0] ^ 0xFFFF, -(1 << 63), 0, -1]
+    rows = [(h, ("train", "val", "test")[int(rng.integers(0, 3))]) for h in hashes]
+    want = {}
+    for i, (a, s) in enumerate(rows):
+        for b, t in rows[i + 1:]:
+            d = bin((a ^ b) & (2**64 - 1)).count("1")
+            if 0 < d <= threshold:
+                want[min(s, t), max(s, t), d] = want.get((min(s, t), max(s, t), d), 0) + 1
+    got = duplicates.near_histogram(spark.createDataFrame([*rows, (None, "val")], "h long, split string"), "h", "split", threshold).collect()
+    assert {(r["x"], r["y"], r["distance"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
 def test_equal_hashes_of_different_content_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = [(i, int(rng.integers(0, 6)) - 2, "abc"[int(rng.integers(0, 3))], ("train", "val", "test")[int(rng.integers(0, 3))]) for i in range(60)] + [(60, 77, "a", "train"), (61, 77, "a", "test"), (62, None, "b", "test")]
