@@ -14,6 +14,8 @@ from evalguard.operators.frames import pairs_of
 
 #: Rows of a block where hashes are compared block by block, and the most blocks: beyond, blocks grow and no row is copied more often.
 BLOCK, MOST_BLOCKS = 8192, 64
+#: Bands of fewer bits than these cost more than a comparison of all hashes.
+NARROW = 7
 #: Hashes of both sides that are compared at once; the distances stay in the processor's cache.
 TILE_ROWS, TILE = 16, 8192
 
@@ -63,10 +65,12 @@ def near_hashes(df: DataFrame, hash_: str, threshold: int = 6) -> DataFrame:
     """(ha, hb, distance): all pairs of different 64-bit hashes within the Hamming threshold; exact, without a bucket cap.
 
     Equal hashes collapse to one first, so a hot hash costs one row in the join; a pair is made only in the
-    first band that it shares, so no distinct is needed.
+    first band that it shares, so no distinct is needed. Narrow bands hold nearly all pairs: then blocks are compared.
     """
     cut = bands(threshold)
     hashes = df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
+    if 0 < cut[0][1] < 1 << (NARROW - 1):
+        return _near_in_blocks(hashes, threshold)
     band = lambda h, s, m: F.shiftrightunsigned(h, s).bitwiseAND(F.lit(m)) if m != -1 else h
     spread = hashes.select("h", F.posexplode(F.array(*(band(F.col("h"), s, m) for s, m in cut))).alias("band", "value"))
     a, b = spread.alias("a"), spread.alias("b")
@@ -112,6 +116,23 @@ def between_blocks(df: DataFrame, hash_: str, run, schema: str) -> DataFrame:
     return dealt.groupBy("__lo", "__hi").applyInArrow(task, schema)
 
 
+def _near_in_blocks(hashes: DataFrame, threshold: int) -> DataFrame:
+    def run(a: pa.Table, b: pa.Table, within: bool) -> Iterator[pa.RecordBatch]:
+        ha, hb = a["h"].to_numpy(), b["h"].to_numpy()
+        batch = lambda rows: pa.record_batch({n: pa.array(np.concatenate(c), t) for n, c, t in zip(("ha", "hb", "distance"), zip(*rows), (pa.int64(), pa.int64(), pa.int32()))})
+        found, n = [], 0
+        for i, j, d in close(ha, hb, threshold, within):
+            found.append((np.minimum(ha[i], hb[j]), np.maximum(ha[i], hb[j]), d.astype(np.int32)))
+            n += len(d)
+            if n >= 1 << 16:
+                yield batch(found)
+                found, n = [], 0
+        if found:
+            yield batch(found)
+
+    return between_blocks(hashes, "h", run, "ha long, hb long, distance int")
+
+
 def near_histogram(df: DataFrame, hash_: str, split: str, threshold: int = 6) -> DataFrame:
     """(x, y, distance, n): pairs of rows of different hashes within the threshold by their splits, x <= y, and distance.
 
@@ -147,7 +168,7 @@ def near_pairs(df: DataFrame, sample: str, hash_: str, threshold: int = 6) -> Da
     """
     left = df.select(F.col(sample).alias("ia"), F.col(hash_).alias("ha"))
     right = df.select(F.col(sample).alias("ib"), F.col(hash_).alias("hb"))
-    return near_hashes(df, hash_, threshold).join(left, "ha").join(right, "hb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
+    return near_hashes(df, hash_, threshold).join(left, "ha").join(right, "hb").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance").where("a < b")
 
 
 def near_counts(df: DataFrame, hashes: DataFrame, hash_: str, split: str) -> DataFrame:

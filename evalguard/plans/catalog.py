@@ -111,7 +111,8 @@ def sign_hash_sql(bits: int = 64) -> str:
 @query(f"""with h as (select vec_id, cast({sign_hash_sql()} as bigint) as h from embeddings)
 select a.vec_id as a, b.vec_id as b, cast(bit_count(xor(a.h, b.h)) as integer) as distance from h a join h b on a.vec_id < b.vec_id and a.h <> b.h and bit_count(xor(a.h, b.h)) <= 16""")
 def dd004_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", duplicates.sign_hash(F.col("embedding")).alias("h"))
+    """Near pairs of rows; a missing vector has no sign, as in the SQL."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", F.coalesce(duplicates.sign_hash(F.col("embedding")), F.lit(0).cast("long")).alias("h"))
     return duplicates.near_pairs(rows, "vec_id", "h", 16)
 
 

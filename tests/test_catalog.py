@@ -66,7 +66,7 @@ def odd_vectors(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["dd004_closest", "dd004_pair_counts"])
+@pytest.mark.parametrize("name", ["dd004_closest", "dd004_pair_counts", "dd004_near_pairs"])
 def test_near_vectors_equal_sql_on_odd_input(spark, odd_vectors, monkeypatch, name):
     monkeypatch.setattr(duplicates, "BLOCK", 16)  # several blocks
     c = duckdb.connect()
